@@ -29,6 +29,13 @@ def padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, halves
 
 
+def windows_of(embedded: np.ndarray, steps: int) -> np.ndarray:
+    """(rows, steps, WIDTH * DIM): the windows of each row of embedded bytes, STRIDE apart."""
+    row, item = embedded.strides[0], embedded.itemsize
+    view = np.lib.stride_tricks.as_strided(embedded, (len(embedded), steps, WIDTH * DIM), (row, STRIDE * DIM * item, item))
+    return np.ascontiguousarray(view)
+
+
 @dataclass
 class Network:
     embedding: np.ndarray  # (257, DIM), the last row is padding and stays zero
@@ -49,17 +56,17 @@ class Network:
         zero = lambda n: np.zeros(n, np.float32)
         return cls(embedding, f(WIDTH * DIM, FILTERS), zero(FILTERS), f(FILTERS, HIDDEN), zero(HIDDEN), f(HIDDEN), zero(1), np.array([1.0, 0, 0, 0]))
 
-    def pooled(self, codes: np.ndarray, halves: int) -> np.ndarray:
-        """The largest response of each filter in each half of the byte stream: (halves, FILTERS)."""
-        top = np.empty((halves, FILTERS), np.float32)
-        block = 64
-        for at in range(0, halves, block):
-            n = min(block, halves - at)
-            part = self.embedding[codes[at * HALF : (at + n) * HALF + WIDTH]].reshape(-1)
-            windows = np.lib.stride_tricks.as_strided(
-                part, (n * _STEPS, WIDTH * DIM), (STRIDE * DIM * part.itemsize, part.itemsize)
-            )
-            top[at : at + n] = (np.ascontiguousarray(windows) @ self.filters).reshape(n, _STEPS, FILTERS).max(1)
+    def pooled(self, codes: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The largest response of each filter in each half: (halves, FILTERS).
+
+        Windows reach past their half, but not past a document's last half (`last`).
+        """
+        top = np.empty((len(last), FILTERS), np.float32)
+        for at in range(0, len(last), 64):
+            n = min(64, len(last) - at)
+            rows = codes[(np.arange(at, at + n) * HALF)[:, None] + np.arange(HALF + WIDTH)]
+            rows[last[at : at + n], HALF:] = PAD
+            top[at : at + n] = (windows_of(self.embedding[rows], _STEPS) @ self.filters).max(1)
         return np.maximum(top + self.bias, 0)
 
     def chunk_logits(self, features: np.ndarray) -> np.ndarray:
@@ -68,10 +75,9 @@ class Network:
     def document_logits(self, texts: list[str]) -> np.ndarray:
         """Mean, lowest and highest chunk logit and 1 for each text: (texts, 4)."""
         codes, halves = padded(texts)
-        top = self.pooled(codes, int(halves.sum()))
-        ends = np.cumsum(halves)
-        last = np.zeros(len(top), bool)
-        last[ends - 1] = True
+        last = np.zeros(halves.sum(), bool)
+        last[np.cumsum(halves) - 1] = True
+        top = self.pooled(codes, last)
         logits = self.chunk_logits(np.maximum(top[:-1], top[1:])[~last[:-1]])
         counts = halves - 1
         starts = np.cumsum(counts) - counts
@@ -98,6 +104,8 @@ def train(texts: list[str], labels: np.ndarray, passes: int = 4, rate: float = 4
         return net
     codes, halves = padded(texts)
     starts = np.concatenate([np.arange(h - 1) + s for h, s in zip(halves, np.cumsum(halves) - halves)]) * HALF
+    final = np.zeros(len(starts), bool)
+    final[np.cumsum(halves - 1) - 1] = True
     target = np.repeat(labels, halves - 1)
     weight = np.repeat(1.0 / (halves - 1), halves - 1).astype(np.float32)  # documents count alike
     weight = np.minimum(weight * 8, 1.0)
@@ -111,12 +119,8 @@ def train(texts: list[str], labels: np.ndarray, passes: int = 4, rate: float = 4
             own = order[at : at + batch]
             n = len(own)
             bytes_ = codes[starts[own][:, None] + np.arange(span)]
-            part = net.embedding[bytes_]
-            windows = np.ascontiguousarray(
-                np.lib.stride_tricks.as_strided(
-                    part, (n, 2 * _STEPS, WIDTH * DIM), (part.strides[0], STRIDE * DIM * part.itemsize, part.itemsize)
-                )
-            )
+            bytes_[final[own], 2 * HALF :] = PAD
+            windows = windows_of(net.embedding[bytes_], 2 * _STEPS)
             responses = windows @ net.filters
             where = responses.argmax(1)
             features = np.take_along_axis(responses, where[:, None], 1)[:, 0] + net.bias
