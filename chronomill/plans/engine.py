@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from .. import errors as E
 from ..functions import aggregates as A
 from ..functions import tags as T
-from ..functions.granularity import Granularity, as_utc, coarser, level, to_seconds
+from ..functions.granularity import Granularity, as_utc, coarser, from_seconds, level, to_seconds
 from ..operators import derive, ranges, rollup, values
-from ..sources.catalog import Catalog, Source, Stream
-from ..sources.store import Store
+from ..sources.catalog import PROGRESS_FIELDS, Catalog, Source, Stream
+from ..sources.store import ROLLUP_FIELDS, Store
 from .results import Datapoints
 
 DERIVE_OPERATORS = ("sum", "derivative", "counter_reset", "counter_derivative")
@@ -31,7 +31,7 @@ class Engine:
     written) or "on_read" (buckets made when read, the newest included).
     """
 
-    def __init__(self, spark: SparkSession, root: str, mode: str = "materialized", check_on_downsample=None):
+    def __init__(self, spark: SparkSession, root: str, mode: str = "materialized"):
         if mode not in ("materialized", "on_read"):
             raise ValueError("mode is materialized or on_read")
         self.spark, self.mode = spark, mode
@@ -139,6 +139,9 @@ class Engine:
             raise E.IncompatibleTypes(f"{op} works with numeric sources")
 
     def _next_ord(self) -> int:
+        held = self.catalog.latest()
+        if held is not None:
+            return max([0, *(s.ord for s in held)]) + 1
         return (self.store.read("streams", "ord long").agg(F.max("ord")).first()[0] or 0) + 1
 
     def _next_seq(self) -> int:
@@ -196,7 +199,7 @@ class Engine:
         if any(x.stream_id in ids for s in self.catalog.find() if s.stream_id not in ids for x in s.derived_from):
             raise E.OutstandingDependenciesError("other streams are derived from these")
         self.catalog.put(*[replace(s, deleted=True) for s in going])
-        gone = self.spark.createDataFrame([(i,) for i in ids], "stream_id string")
+        gone = self.store.local([(i,) for i in ids], "stream_id string")
         for table, df in [("points", self.store.points())] + [(f"rollups/{g.name}", self.store.rollups(g.name)) for g in coarser(level("seconds"))]:
             if self.store.runs(table):
                 self.store.replace(table, df.join(F.broadcast(gone), "stream_id", "left_anti"), ["day"])
@@ -229,10 +232,10 @@ class Engine:
             latest[stream.stream_id] = max(second, latest.get(stream.stream_id, second))
             kept = values.stored_value(point["value"], stream.value_type, stream.value_type_options, list(stream.value_downsamplers))
             agg = kept["agg"]
-            packed = None if agg is None else tuple(agg.get(k) for k in ("c", "s", "q", "l", "u", "m", "d"))
+            packed = None if agg is None else {k: agg.get(k) for k in ("c", "s", "q", "l", "u", "m", "d")}
             rows.append((stream.stream_id, moment, base + i, kept["value"], kept["value_json"], packed))
             shown.append({"stream_id": stream.stream_id, "datapoint": {"t": moment, "v": point["value"]}})
-        self._write(self.spark.createDataFrame(rows, rollup.POINT_FIELDS))
+        self._write(self.store.local(rows, rollup.POINT_FIELDS), self._spans(rows))
         return shown
 
     def append_frame(self, points: DataFrame, check_timestamp: bool = True) -> None:
@@ -270,9 +273,29 @@ class Engine:
             raise E.InvalidTimestamp("times before a stream's newest datapoint")
         self._write(full.withColumn("seq", F.col("seq") + F.lit(self._next_seq())))
 
-    def _write(self, points: DataFrame) -> None:
+    def _spans(self, rows: list[tuple]) -> DataFrame:
+        """Earliest and latest time of each stream of a batch, and of those derived from them."""
+        spans: dict[str, tuple] = {}
+        for stream_id, moment, *_ in rows:
+            low, high = spans.get(stream_id, (moment, moment))
+            spans[stream_id] = (min(low, moment), max(high, moment))
+        grown = True
+        while grown:
+            grown = False
+            for s in self.catalog.find():
+                own = [spans[x.stream_id] for x in s.derived_from if x.stream_id in spans]
+                if own and s.stream_id not in spans:
+                    spans[s.stream_id] = (min(x[0] for x in own), max(x[1] for x in own))
+                    grown = True
+        return self.store.local([(k, *v) for k, v in spans.items()], "stream_id string, earliest timestamp, latest timestamp")
+
+    def _write(self, points: DataFrame, spans: DataFrame | None = None) -> None:
         """Rows of a day and stream stand together, so a scan of a stream skips the row groups of others."""
         dealt = points.withColumn("day", F.to_date("ts"))
+        if spans is not None:  # a list of the driver's: one sorted task
+            self.store.write("points", dealt.coalesce(1).sortWithinPartitions("day", "stream_id", "ts", "seq"), ["day"])
+            self.store.write("heads", spans.coalesce(1))
+            return
         spread = dealt.repartition(F.col("day"), F.pmod(F.xxhash64("stream_id", "ts"), F.lit(16))).sortWithinPartitions("day", "stream_id", "ts", "seq")
         path = self.store.write("points", spread, ["day"])
         written = self.spark.read.schema(rollup.POINT_FIELDS).parquet(path)
@@ -285,7 +308,7 @@ class Engine:
         edges = [(s.stream_id, x.stream_id) for s in streams for x in s.derived_from]
         out, now = heads, heads
         for _ in range(len(streams) if edges else 0):
-            links = self.spark.createDataFrame(edges, "dst string, src string")
+            links = self.store.local(edges, "dst string, src string")
             now = now.join(F.broadcast(links), F.col("stream_id") == F.col("src")).groupBy("dst").agg(F.min("earliest").alias("earliest"), F.max("latest").alias("latest"))
             now = now.withColumnRenamed("dst", "stream_id")
             if not now.limit(1).count():
@@ -354,17 +377,20 @@ class Engine:
             return []
         made = []
         limit = 2**31 - 1 if until is None else to_seconds(as_utc(until))
-        names = self.spark.createDataFrame([(s.stream_id,) for s in streams], "stream_id string")
-        ends = self.catalog.heads().join(F.broadcast(names), "stream_id").select("stream_id", F.unix_seconds("latest").alias("newest")).where("newest is not null")
+        # The streams are on the driver already; so are their bounds, one number each.
+        wanted = {s.stream_id for s in streams}
+        heads = self.catalog.heads().select("stream_id", F.unix_seconds("latest").alias("at")).collect()
+        ends = {r["stream_id"]: r["at"] for r in heads if r["stream_id"] in wanted and r["at"] is not None}
+        done = {(r["stream_id"], r["granularity"]): as_utc(r["until"]) for r in self.catalog.progress().collect()}
         finest = min(coarser(level("seconds")), key=lambda g: g.seconds)
         for g in coarser(level("seconds")):
             firsts = [s for s in streams if self._level_under(s) == g]
             merges = [s.stream_id for s in streams if level(s.highest_granularity) > g and self._level_under(s) != g]
             if not firsts and not merges:
                 continue
-            before = self.catalog.progress().where(F.col("granularity") == g.name).select("stream_id", F.col("until").alias("lo"))
-            hi = g.floor_seconds(F.least(F.col("newest"), F.lit(limit).cast("long")))
-            bounds = ends.select("stream_id", F.timestamp_seconds(hi).alias("hi")).join(before, "stream_id", "left")
+            his = {k: from_seconds(min(at, limit) // g.seconds * g.seconds) for k, at in ends.items()}
+            rows = [(k, done.get((k, g.name)), hi) for k, hi in his.items()]
+            bounds = self.store.local(rows, "stream_id string, lo timestamp, hi timestamp")
             parts = [rollup.first_level(self._within(self.points(s), bounds, "ts"), g) for s in firsts if s.derive_op]
             plain = [s.stream_id for s in firsts if not s.derive_op]
             if plain:
@@ -377,18 +403,22 @@ class Engine:
                 rows = rows.unionByName(p)
             filled = rollup.gap_filled(rows, g, bounds).withColumn("day", F.to_date("bucket"))
             path = self.store.write(f"rollups/{g.name}", filled.sortWithinPartitions("day", "stream_id", "bucket"), ["day"])
-            written = self.spark.read.schema("stream_id string, bucket timestamp").parquet(path)
-            reached = written.select("stream_id").distinct().join(bounds, "stream_id").select("stream_id", F.lit(g.name).alias("granularity"), F.col("hi").alias("until"))
-            self.store.write("progress", reached)
+            written = self.spark.read.schema(ROLLUP_FIELDS).parquet(path)
+            reached = [r["stream_id"] for r in written.select("stream_id").distinct().collect()]
+            if reached:
+                self.store.write("progress", self.store.local([(k, g.name, his[k]) for k in reached], PROGRESS_FIELDS).coalesce(1))
+                done |= {(k, g.name): his[k] for k in reached}
             if return_datapoints:
                 kinds = {s.stream_id: s for s in streams}
-                for r in self.store.spark.read.parquet(path).orderBy("stream_id", "bucket").toLocalIterator():
+                for r in written.orderBy("stream_id", "bucket").toLocalIterator():
                     made.append({"stream_id": r["stream_id"], "granularity": g.name, "datapoint": self._shown_rollup(r, kinds[r["stream_id"]])})
-            through = self.catalog.progress().where(F.col("granularity") == g.name).select("stream_id", F.unix_seconds("until").alias("at"))
-            own = self.spark.createDataFrame([(s.stream_id,) for s in streams if level(s.highest_granularity) > g], "stream_id string")
-            moved = ends.join(F.broadcast(own), "stream_id").join(through, "stream_id").select("stream_id", F.col("at").alias("newest"))
-            rest = ends.join(F.broadcast(own), "stream_id", "left_anti")
-            ends = moved.unionByName(rest)
+            for s in streams:
+                if level(s.highest_granularity) > g:
+                    at = done.get((s.stream_id, g.name))
+                    if at is None:
+                        ends.pop(s.stream_id, None)
+                    elif s.stream_id in ends:
+                        ends[s.stream_id] = to_seconds(at)
         return made
 
     def _level_under(self, stream: Stream) -> Granularity:
@@ -396,7 +426,7 @@ class Engine:
 
     @staticmethod
     def _within(df: DataFrame, bounds: DataFrame, time: str) -> DataFrame:
-        at = df.join(bounds, "stream_id")
+        at = df.join(F.broadcast(bounds), "stream_id")  # one row a stream of the catalog
         return at.where((F.col(time) < F.col("hi")) & (F.col("lo").isNull() | (F.col(time) >= F.col("lo")))).drop("lo", "hi")
 
     # reads

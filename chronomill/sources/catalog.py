@@ -66,18 +66,44 @@ class Stream:
 class Catalog:
     """A change writes a new version of a stream's row; the latest version counts."""
 
+    #: Up to so many versions the catalog is held on the driver between changes; beyond, it stays a table.
+    HELD = 10_000
+
     def __init__(self, store: Store):
         self.store, self.spark = store, store.spark
+        self._runs: tuple | None = None
+        self._held: list | None = None
+
+    def _rows(self) -> DataFrame:
+        runs = tuple(self.store.runs("streams"))
+        if runs != self._runs:
+            rows = self.store.read("streams", STREAM_FIELDS).limit(self.HELD + 1).collect() if runs else []
+            self._held = [tuple(r) for r in rows] if len(rows) <= self.HELD else None
+            self._runs = runs
+        return self.store.read("streams", STREAM_FIELDS) if self._held is None else self.store.local(self._held, STREAM_FIELDS)
 
     def table(self) -> DataFrame:
-        rows = self.store.read("streams", STREAM_FIELDS)
+        rows = self._rows()
         latest = rows.groupBy("stream_id").agg(F.max_by(F.struct(*rows.columns), "version").alias("s"))
         return latest.select("s.*").where("not deleted")
 
     def put(self, *streams: Stream) -> None:
         changed = [replace(s, version=s.version + 1).row() for s in streams]
         if changed:
-            self.store.write("streams", self.spark.createDataFrame(changed, STREAM_FIELDS).coalesce(1))
+            self.store.write("streams", self.store.local(changed, STREAM_FIELDS).coalesce(1))
+
+    def latest(self) -> list[Stream] | None:
+        """All streams, if they are held on the driver."""
+        self._rows()
+        if self._held is None:
+            return None
+        names = [f.split()[0] for f in STREAM_FIELDS.split(", ")]
+        newest: dict[str, dict] = {}
+        for r in self._held:
+            row = dict(zip(names, r))
+            if row["stream_id"] not in newest or row["version"] > newest[row["stream_id"]]["version"]:
+                newest[row["stream_id"]] = row
+        return sorted((Stream.of(r) for r in newest.values() if not r["deleted"]), key=lambda s: s.ord)
 
     def find(self, query: dict | None = None, with_id: bool = True) -> list[Stream]:
         """Streams in the order they were made. `stream_id` in a query is not a tag; without `with_id` it finds none."""
@@ -85,6 +111,9 @@ class Catalog:
         wanted = query.pop("stream_id", None)
         if wanted is not None and not with_id:
             return []
+        held = self.latest() if not query else None
+        if held is not None:
+            return [s for s in held if wanted is None or s.stream_id == wanted]
         rows = self.table().where(matches(query, F.col("tags")))
         if wanted is not None:
             rows = rows.where(F.col("stream_id") == wanted)
