@@ -330,7 +330,8 @@ class Engine:
             if g == level(source.highest_granularity):
                 rows = self.points(source).where(F.col("seq") >= stream.from_seq)
                 numeric = F.coalesce(F.col("value"), F.col("agg.m"), F.col("value_json").try_cast("double"))
-                inputs.append(rows.withColumn("value", numeric))
+                # A nominal value that is no number is passed over; only a null is a null.
+                inputs.append(rows.where(F.col("value_json").isNull() | numeric.isNotNull()).withColumn("value", numeric))
             else:
                 inputs.append(derive.from_rollup(self.store.rollups(g.name).where(F.col("stream_id") == s.stream_id)))
         rows = derive.tagged(inputs, stream.stream_id)
