@@ -380,8 +380,9 @@ class Engine:
         limit = 2**31 - 1 if until is None else to_seconds(as_utc(until))
         # The streams are on the driver already; so are their bounds, one number each.
         wanted = {s.stream_id for s in streams}
-        heads = self.catalog.heads().select("stream_id", F.unix_seconds("latest").alias("at")).collect()
+        heads = self.catalog.heads().select("stream_id", F.unix_seconds("earliest").alias("low"), F.unix_seconds("latest").alias("at")).collect()
         ends = {r["stream_id"]: r["at"] for r in heads if r["stream_id"] in wanted and r["at"] is not None}
+        begins = {r["stream_id"]: r["low"] for r in heads}
         done = {(r["stream_id"], r["granularity"]): as_utc(r["until"]) for r in self.catalog.progress().collect()}
         finest = min(coarser(level("seconds")), key=lambda g: g.seconds)
         for g in coarser(level("seconds")):
@@ -390,7 +391,12 @@ class Engine:
             if not firsts and not merges:
                 continue
             his = {k: from_seconds(min(at, limit) // g.seconds * g.seconds) for k, at in ends.items()}
+            # Only streams that have something between the last run's end and this one's.
             rows = [(k, done.get((k, g.name)), hi) for k, hi in his.items()]
+            rows = [r for r in rows if r[2] > (r[1] or from_seconds(begins[r[0]]))]
+            if not rows:
+                self._next_level(streams, g, ends, done)
+                continue
             bounds = self.store.local(rows, "stream_id string, lo timestamp, hi timestamp")
             parts = [rollup.first_level(self._within(self.points(s), bounds, "ts"), g) for s in firsts if s.derive_op]
             plain = [s.stream_id for s in firsts if not s.derive_op]
@@ -413,15 +419,20 @@ class Engine:
                 kinds = {s.stream_id: s for s in streams}
                 for r in written.orderBy("stream_id", "bucket").toLocalIterator():
                     made.append({"stream_id": r["stream_id"], "granularity": g.name, "datapoint": self._shown_rollup(r, kinds[r["stream_id"]])})
-            for s in streams:
-                if level(s.highest_granularity) > g:
-                    at = done.get((s.stream_id, g.name))
-                    if at is None:
-                        ends.pop(s.stream_id, None)
-                    elif s.stream_id in ends:
-                        ends[s.stream_id] = to_seconds(at)
+            self._next_level(streams, g, ends, done)
         return made
 
+    @staticmethod
+    def _next_level(streams: list[Stream], g: Granularity, ends: dict, done: dict) -> None:
+        """A coarser level sees what this one has reached; streams that start at or under it keep their newest point."""
+        for s in streams:
+            if level(s.highest_granularity) > g and s.stream_id in ends:
+                at = done.get((s.stream_id, g.name))
+                if at is None:
+                    del ends[s.stream_id]
+                else:
+                    ends[s.stream_id] = to_seconds(at)
+
     def _level_under(self, stream: Stream) -> Granularity:
         return coarser(level(stream.highest_granularity))[0] if coarser(level(stream.highest_granularity)) else level("seconds")
 
