@@ -185,9 +185,9 @@ class Engine:
     def clear_tags(self, stream_id: str) -> None:
         self.catalog.put(replace(self.catalog.get(stream_id), tags={}))
 
-    def find_streams(self, query_tags: dict | None = None) -> list[dict]:
+    def find_streams(self, query_tags: dict | None = None, containment: bool = False) -> list[dict]:
         T.check_tags({k: v for k, v in (query_tags or {}).items() if k not in T.RESERVED}, reserved=False)
-        return [self.get_tags(s.stream_id) for s in self.catalog.find(query_tags, with_id=False)]
+        return [self.get_tags(s.stream_id) for s in self.catalog.find(query_tags, with_id=False, containment=containment)]
 
     def delete_streams(self, query_tags: dict | None = None) -> None:
         """Delete matching streams, or the whole store without a query; a stream that feeds one that stays cannot go."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import MultipleStreamsReturned, StreamNotFound
-from ..functions.tags import matches
+from ..functions.tags import contains, matches
 from .store import Store
 
 STREAM_FIELDS = (
@@ -105,8 +105,11 @@ class Catalog:
                 newest[row["stream_id"]] = row
         return sorted((Stream.of(r) for r in newest.values() if not r["deleted"]), key=lambda s: s.ord)
 
-    def find(self, query: dict | None = None, with_id: bool = True) -> list[Stream]:
-        """Streams in the order they were made. `stream_id` in a query is not a tag; without `with_id` it finds none."""
+    def find(self, query: dict | None = None, with_id: bool = True, containment: bool = False) -> list[Stream]:
+        """Streams in the order they were made. `stream_id` in a query is not a tag; without `with_id` it finds none.
+
+        With `containment` a query is plain JSON that the tags must contain, without operators.
+        """
         query = dict(query or {})
         wanted = query.pop("stream_id", None)
         if wanted is not None and not with_id:
@@ -114,7 +117,7 @@ class Catalog:
         held = self.latest() if not query else None
         if held is not None:
             return [s for s in held if wanted is None or s.stream_id == wanted]
-        rows = self.table().where(matches(query, F.col("tags")))
+        rows = self.table().where((contains if containment else matches)(query, F.col("tags")))
         if wanted is not None:
             rows = rows.where(F.col("stream_id") == wanted)
         return [Stream.of(r) for r in rows.orderBy("ord").collect()]

@@ -238,6 +238,8 @@ def test_tags(engine):
     assert ids({"number": {"gte": 1}}) == [one, two] and ids({"number": {"gt": 1}}) == [two]
     assert ids({"number": {"in": [1, 7]}}) == [one]
     assert ids({"view": {"downsamplers": {"all": ["mean", "min"]}}}) == [one] and ids({"view": {"downsamplers": {"all": ["mean", "max"]}}}) == []
+    held = lambda q: [s["stream_id"] for s in engine.find_streams(q, containment=True)]
+    assert held({"view": {"downsamplers": ["min"]}}) == [one] and held({"number": 2}) == [two] and held({"number": {"gte": 1}}) == []
     assert ids({"value_type": "numeric"}) == [] and ids({"stream_id": one}) == []
     engine.update_tags(one, {"view": {"hidden": True}, "new": 3})
     shown = engine.get_tags(one)
