@@ -9,11 +9,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, stored, text_or_empty
+from .shared import bucketed, slices, text_or_empty
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,24 +47,40 @@ class PreTokenizer:
         return [m[0] for m in self.any.finditer(text)]
 
 
-def _pack(numbers: np.ndarray) -> bytes:
-    return zstandard.compress(numbers.tobytes(), 1)
+def _pack(data: bytes) -> bytes:
+    return zstandard.compress(data, 3)
 
 
-def _unpack(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), kind)
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers as planes of bytes: small numbers, which are the most, leave the high planes nearly empty."""
+    return _pack(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
-def word_blocks(docs: DataFrame, pattern: str, block_chars: int = 12_000_000) -> DataFrame:
-    """The corpus as blocks: block, words (distinct pre-tokens), doc_ids, counts, places.
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
-    `places` names, in order of position, the word at each position of each document of the block
-    (compressed); `counts` has the positions per document. So the exploded pre-tokens cost a
-    few bits a position, and a hot word one row a block.
+
+def _joined(parts: list[bytes]) -> bytes:
+    """Byte strings and their lengths as one compressed value."""
+    return _pack(np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts))
+
+
+def _split(data: bytes) -> list[bytes]:
+    raw = zstandard.decompress(data)
+    n = int.from_bytes(raw[:4], "little")
+    ends = (np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64) + 4 * (n + 1)).tolist()
+    return [raw[a:b] for a, b in zip([4 * (n + 1), *ends], ends)]
+
+
+def word_blocks(docs: DataFrame, pattern: str, buckets: int, block_chars: int = 16_000_000) -> DataFrame:
+    """The corpus as blocks of whole documents, each with its distinct pre-tokens.
+
+    block; doc_ids; counts (positions per document); places: the exploded pre-tokens of the block in order of
+    position, as the number of the word at each; homes: the bucket of each word; parts: for each bucket its
+    words. Words are numbered by how often they stand in the block, so a position costs little more than a byte.
     """
-    kind = pa.schema(
-        [("block", pa.int64()), ("words", pa.list_(pa.string())), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.binary()), ("places", pa.binary())]
-    )
+    fields = "block long, doc_ids array<long>, counts binary, places binary, homes binary, parts array<struct<bucket:int,words:binary>>"
+    part_type = pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())]))
 
     def run(batches):
         from pyspark import TaskContext
@@ -72,15 +89,22 @@ def word_blocks(docs: DataFrame, pattern: str, block_chars: int = 12_000_000) ->
         words, ids, counts, places, held = {}, [], [], [], 0
 
         def block():
+            found = np.concatenate(places)
+            often = np.bincount(found, minlength=len(words))
+            order = np.argsort(-often, kind="stable")
+            rank = np.empty(len(order), "<u4")
+            rank[order] = np.arange(len(order))
+            raw = [w.encode("utf-8", "surrogatepass") for w in words]
+            raw = [raw[i] for i in order.tolist()]
+            homes = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in raw), "<u2", len(raw))
+            parts: dict[int, list[bytes]] = {}
+            for home, w in zip(homes.tolist(), raw):
+                parts.setdefault(home, []).append(w)
+            listed = [{"bucket": h, "words": _joined(parts[h])} for h in sorted(parts)]
+            values = [base + number, ids, _planes(np.array(counts, "<u4")), _planes(rank[found]), _pack(homes.tobytes()), listed]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), part_type]
             return pa.record_batch(
-                [
-                    pa.array([base + number], pa.int64()),
-                    pa.array([list(words)], kind.field("words").type),
-                    pa.array([ids], kind.field("doc_ids").type),
-                    pa.array([_pack(np.array(counts, "<i8"))], pa.binary()),
-                    pa.array([_pack(np.concatenate(places) if places else np.empty(0, "<u4"))], pa.binary()),
-                ],
-                schema=kind,
+                [pa.array([v], t) for v, t in zip(values, kinds)], names=["block", "doc_ids", "counts", "places", "homes", "parts"]
             )
 
         for batch in slices(batches, "text"):
@@ -101,43 +125,66 @@ def word_blocks(docs: DataFrame, pattern: str, block_chars: int = 12_000_000) ->
             yield block()
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return read.mapInArrow(run, "block long, words array<string>, doc_ids array<long>, counts binary, places binary")
+    return read.mapInArrow(run, fields)
 
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32 bit) of every text; null text counts as empty.
 
     One row per row of `docs`, repeated ones too; no rows give no rows. Other columns are not read.
+
+    Every distinct word of a block is sent once to the bucket that its hash names, so all blocks' copies of a word
+    meet in one bucket, which encodes it once; its ids go back to the blocks, which put their documents
+    together by position. A hot word is one entry a block. The blocks are a table bucketed by block, so
+    only words and ids are shuffled, never the positions.
     """
-    blocks = stored(word_blocks(docs, pattern), "bpe-blocks")
-    words = blocks.select("block", F.posexplode("words").alias("place", "word"))
+    spark = docs.sparkSession
+    # More buckets for more documents, so that a bucket stays a task's work at any size.
+    kind = "<u2" if max(read_ranks(ranks_path).values()) < 1 << 16 else "<u4"
+    buckets = int(min(16_384, max(64, docs.count() // 4_000)))
+    blocks = bucketed(word_blocks(docs, pattern, buckets), "block", int(spark.conf.get("spark.sql.shuffle.partitions")), "bpe_blocks")
+    sent = blocks.select(F.col("block").alias("home"), F.explode("parts").alias("part")).select("home", "part.bucket", "part.words")
 
     def encode(batches):
         core = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=read_ranks(ranks_path), special_tokens={})
+        known, bucket = {}, None
         for batch in batches:
-            ids = [np.array(core.encode_ordinary(w), "<u4").tobytes() for w in batch.column("word").to_pylist()]
-            yield pa.record_batch([batch.column("word"), pa.array(ids, pa.binary())], names=["word", "ids"])
-
-    known = words.select("word").distinct().mapInArrow(encode, "word string, ids binary")
-    joined = words.join(known, "word").select(F.col("block").alias("home"), "place", "ids")
-
+            out = []
+            for now, words in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist()):
+                if now != bucket:
+                    known, bucket = {}, now
+                ids = []
+                for w in _split(words):
+                    found = known.get(w)
+                    if found is None:
+                        found = known[w] = np.array(core.encode_ordinary(w.decode("utf-8", "surrogatepass")), kind).tobytes()
+                    ids.append(found)
+                out.append(_joined(ids))
+            yield pa.record_batch([batch.column("home"), batch.column("bucket"), pa.array(out, pa.binary())], names=["home", "bucket", "ids"])
+
+    met = sent.repartition("bucket").sortWithinPartitions("bucket")
+    returned = met.mapInArrow(encode, "home long, bucket int, ids binary")
     out = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def reassemble(block: pa.Table, table: pa.Table) -> pa.Table:
         found, ids = [], []
         if block.num_rows:
-            table = table.sort_by("place")
-            by_word = table.column("ids").to_pylist()
-            counts = _unpack(block.column("counts")[0].as_py(), "<i8")
-            places = _unpack(block.column("places")[0].as_py(), "<u4")
+            homes = np.frombuffer(zstandard.decompress(block.column("homes")[0].as_py()), "<u2")
+            by_bucket = [x for part in table.sort_by("bucket").column("ids").to_pylist() for x in _split(part)]
+            by_word: list = [None] * len(homes)
+            for word, x in zip(np.argsort(homes, kind="stable").tolist(), by_bucket):
+                by_word[word] = x
+            counts = _from_planes(block.column("counts")[0].as_py())
+            places = _from_planes(block.column("places")[0].as_py())
             found, at = block.column("doc_ids")[0].as_py(), 0
             for n in counts.tolist():
-                ids.append(b"".join(map(by_word.__getitem__, places[at : at + n].tolist())))
+                short = b"".join(map(by_word.__getitem__, places[at : at + n].tolist()))
+                ids.append(np.frombuffer(short, kind).astype("<u4").tobytes())
                 at += n
         return pa.table([pa.array(found, pa.int64()), pa.array(ids, pa.binary())], schema=out)
 
-    whole = blocks.select("block", "doc_ids", "counts", "places").groupBy("block")
-    return whole.cogroup(joined.groupBy("home")).applyInArrow(reassemble, "doc_id long, ids binary")
+    whole = blocks.select("block", "doc_ids", "counts", "places", "homes").groupBy("block")
+    return whole.cogroup(returned.groupBy("home")).applyInArrow(reassemble, "doc_id long, ids binary")
 
 
 def decoded(encoded_rows: DataFrame, ranks_path: str) -> DataFrame:

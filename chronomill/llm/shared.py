@@ -42,6 +42,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Like `stored`, as a table of the shared warehouse dealt by `key`: a join or group on it needs no shuffle of its rows."""
+    table = f"chronomill_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).format("parquet").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a table of the shared folder through Spark's own file system layer."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
