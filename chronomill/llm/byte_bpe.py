@@ -72,7 +72,7 @@ def _split(data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 * (n + 1), *ends], ends)]
 
 
-def word_blocks(docs: DataFrame, pattern: str, buckets: int, block_chars: int = 16_000_000) -> DataFrame:
+def word_blocks(docs: DataFrame, pattern: str, buckets: int, block_chars: int = 9_000_000) -> DataFrame:
     """The corpus as blocks of whole documents, each with its distinct pre-tokens.
 
     block; doc_ids; counts (positions per document); places: the exploded pre-tokens of the block in order of
@@ -90,17 +90,20 @@ def word_blocks(docs: DataFrame, pattern: str, buckets: int, block_chars: int =
 
         def block():
             found = np.concatenate(places)
+            places.clear()  # a block's parts go as soon as they are packed: two blocks never stand side by side
             often = np.bincount(found, minlength=len(words))
             order = np.argsort(-often, kind="stable")
             rank = np.empty(len(order), "<u4")
             rank[order] = np.arange(len(order))
             raw = [w.encode("utf-8", "surrogatepass") for w in words]
+            words.clear()
             raw = [raw[i] for i in order.tolist()]
             homes = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in raw), "<u2", len(raw))
             parts: dict[int, list[bytes]] = {}
             for home, w in zip(homes.tolist(), raw):
                 parts.setdefault(home, []).append(w)
-            listed = [{"bucket": h, "words": _joined(parts[h])} for h in sorted(parts)]
+            del raw
+            listed = [{"bucket": h, "words": _joined(parts.pop(h))} for h in sorted(parts)]
             values = [base + number, ids, _planes(np.array(counts, "<u4")), _planes(rank[found]), _pack(homes.tobytes()), listed]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), part_type]
             return pa.record_batch(
