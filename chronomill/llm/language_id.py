@@ -78,15 +78,12 @@ class Model:
 
 
 def fit(labelled: DataFrame, train_rows: int = 6_000, bits: int = 16, longest: int = 3, smoothing: float = 0.5) -> Model:
-    """Fit on about `train_rows` rows (text, lang), picked by a hash of the text; null languages are left out.
+    """Fit on about `train_rows` rows (text, lang), twice as many at most, picked by a hash; null languages are left out.
 
-    The gram counts of a language are summed on the executors in a few parts, so what reaches
-    the driver is bounded by languages x 2**bits x parts. No labelled rows give a model that
-    answers `und`.
+    One executor task sums the gram counts of that bounded sample, so what reaches the driver is
+    languages x 2**bits numbers. No labelled rows give a model that answers `und`.
     """
-    parts = 4
-    rows = labelled.where(F.col("lang").isNotNull()).select("lang", text_or_empty().alias("text"))
-    rows = hashed_sample(rows, "text", train_rows)
+    rows = hashed_sample(labelled.where(F.col("lang").isNotNull()), train_rows).select("lang", text_or_empty().alias("text"))
 
     def count(batches):
         sums, documents = {}, {}
@@ -104,7 +101,7 @@ def fit(labelled: DataFrame, train_rows: int = 6_000, bits: int = 16, longest: i
                 names=["lang", "documents", "counts"],
             )
 
-    found = rows.repartition(parts, F.xxhash64("text")).mapInArrow(count, "lang string, documents long, counts binary").collect()
+    found = rows.repartition(1).mapInArrow(count, "lang string, documents long, counts binary").collect()
     labels = sorted({r["lang"] for r in found})
     counts = np.zeros((1 << bits, len(labels)))
     documents = np.zeros(len(labels))

@@ -45,7 +45,7 @@ class Network:
     hidden_bias: np.ndarray
     out: np.ndarray  # (HIDDEN,)
     out_bias: np.ndarray  # (1,)
-    combine: np.ndarray  # weights of mean, lowest and highest chunk logit, and a constant
+    combine: np.ndarray  # weights of the columns of document_logits
 
     @classmethod
     def start(cls, seed: int = 7) -> Network:
@@ -54,7 +54,7 @@ class Network:
         embedding = rng.normal(0, 1, (257, DIM)).astype(np.float32)
         embedding[PAD] = 0
         zero = lambda n: np.zeros(n, np.float32)
-        return cls(embedding, f(WIDTH * DIM, FILTERS), zero(FILTERS), f(FILTERS, HIDDEN), zero(HIDDEN), f(HIDDEN), zero(1), np.array([1.0, 0, 0, 0]))
+        return cls(embedding, f(WIDTH * DIM, FILTERS), zero(FILTERS), f(FILTERS, HIDDEN), zero(HIDDEN), f(HIDDEN), zero(1), np.array([1.0, 0, 0, 0, 0, 0]))
 
     def pooled(self, codes: np.ndarray, last: np.ndarray) -> np.ndarray:
         """The largest response of each filter in each half: (halves, FILTERS).
@@ -73,7 +73,10 @@ class Network:
         return np.maximum(features @ self.hidden + self.hidden_bias, 0) @ self.out + self.out_bias[0]
 
     def document_logits(self, texts: list[str]) -> np.ndarray:
-        """Mean, lowest and highest chunk logit and 1 for each text: (texts, 4)."""
+        """Mean, lowest and highest chunk logit, 1, the empty share of the first chunk, and that times the mean: (texts, 6).
+
+        Few filters respond in a text of a few words, so the last two say how much its logit means.
+        """
         codes, halves = padded(texts)
         last = np.zeros(halves.sum(), bool)
         last[np.cumsum(halves) - 1] = True
@@ -82,7 +85,8 @@ class Network:
         counts = halves - 1
         starts = np.cumsum(counts) - counts
         columns = [np.add.reduceat(logits, starts) / counts, np.minimum.reduceat(logits, starts), np.maximum.reduceat(logits, starts)]
-        return np.stack([*columns, np.ones(len(texts))], 1).astype(np.float64)
+        short = 1 - np.minimum(np.add.reduceat(codes[: len(last) * HALF] != PAD, (np.cumsum(halves) - halves) * HALF), 2 * HALF) / (2 * HALF)
+        return np.stack([*columns, np.ones(len(texts)), short, short * columns[0]], 1).astype(np.float64)
 
     def score(self, texts: list[str]) -> np.ndarray:
         """The probability of label 1 for each whole text."""
@@ -100,7 +104,7 @@ def train(texts: list[str], labels: np.ndarray, passes: int = 4, rate: float = 4
     labels = np.asarray(labels, np.float32)
     if len(labels) == 0 or labels.min() == labels.max():
         share = np.clip(labels.mean() if len(labels) else 0.5, 0.01, 0.99)
-        net.combine = np.array([0, 0, 0, np.log(share / (1 - share))])
+        net.combine = np.array([0, 0, 0, np.log(share / (1 - share)), 0, 0])
         return net
     codes, halves = padded(texts)
     starts = np.concatenate([np.arange(h - 1) + s for h, s in zip(halves, np.cumsum(halves) - halves)]) * HALF
@@ -157,23 +161,24 @@ def train(texts: list[str], labels: np.ndarray, passes: int = 4, rate: float = 4
                 change = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
                 setattr(net, k, (getattr(net, k) - change).astype(np.float32))
     x = net.document_logits(texts)
-    w = np.array([1.0, 0, 0, 0])
+    prior = w = np.array([1.0, 0, 0, 0, 0, 0])
     for _ in range(30):  # damped Newton steps of a logistic regression
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(4)
-        w = w - np.clip(np.linalg.solve(h, x.T @ (p - labels) + 1e-2 * (w - [1, 0, 0, 0])), -1, 1)
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(6)
+        w = w - np.clip(np.linalg.solve(h, x.T @ (p - labels) + 1e-2 * (w - prior)), -1, 1)
     net.combine = w
     return net
 
 
-def fit(labelled: DataFrame, train_rows: int = 2_500, **settings) -> Network:
-    """Train on about `train_rows` rows (text, quality), picked by a hash of the text, in one executor task.
+def fit(labelled: DataFrame, train_rows: int = 5_000, **settings) -> Network:
+    """Train on about `train_rows` rows (text, quality), twice as many at most, picked by a hash, in one executor task.
 
     Rows without a label are left out.
     """
     import pickle
 
-    rows = labelled.where(F.col("quality").isNotNull()).select(text_or_empty().alias("text"), F.col("quality").cast("int").alias("quality"))
+    rows = hashed_sample(labelled.where(F.col("quality").isNotNull()), train_rows)
+    rows = rows.select(text_or_empty().alias("text"), F.col("quality").cast("int").alias("quality"))
 
     def run(batches):
         texts, labels = [], []
@@ -184,7 +189,7 @@ def fit(labelled: DataFrame, train_rows: int = 2_500, **settings) -> Network:
         net = train([texts[i] for i in order], np.array([labels[i] for i in order]), **settings)
         yield pa.record_batch([pa.array([pickle.dumps(net)])], names=["net"])
 
-    found = hashed_sample(rows, "text", train_rows).repartition(1).mapInArrow(run, "net binary").collect()
+    found = rows.repartition(1).mapInArrow(run, "net binary").collect()
     return pickle.loads(found[0]["net"]) if found else train([], np.empty(0))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, exact_dedup, language_id, licenses, near_dedup, neighbours, packing, quality, secrets, token_counts
-from .shared import crc_remainder, new_path
+from .shared import crc_remainder, hashed_sample, new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     marks = _table(spark, sf_dir, "labels").select("doc_id", "quality").where(crc_remainder("doc_id", 5) != 0)
     # The labels of a bounded sample pick the texts to learn from.
-    sample = quality.hashed_sample(marks.where("quality is not null"), "doc_id", 2_500)
-    net = quality.fit(docs.join(F.broadcast(sample), "doc_id"), train_rows=2_500)
+    sample = hashed_sample(marks.where("quality is not null"), 5_000)
+    net = quality.fit(docs.join(F.broadcast(sample), "doc_id"), train_rows=5_000)
     scores = quality.scored(docs, net)
     held_out = (crc_remainder("doc_id", 5) == 0).alias("held_out")
     return scores.select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

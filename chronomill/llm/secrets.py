@@ -110,7 +110,7 @@ def ordinary_samples(docs: DataFrame, sample_docs: int = 1_500) -> DataFrame:
     Words with a digit are left out, since a sample of the corpus may itself hold secrets.
     """
     spark = docs.sparkSession
-    texts = hashed_sample(docs.select(text_or_empty().alias("text")), "text", sample_docs)
+    texts = hashed_sample(docs, sample_docs).select(text_or_empty().alias("text"))
     words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z_-]{7,40}"), F.lit(0))).alias("sample"))
     parts = F.split(F.lit(" ".join(_PARTS)), " ")
     pick = lambda k: F.element_at(parts, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(_PARTS))) + 1).cast("int"))

@@ -43,9 +43,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
-    """Like `stored`, as a table of the shared warehouse dealt by `key`: a join or group on it needs no shuffle of its rows."""
+    """Like `stored`, as a table of the catalog dealt by `key`: a join or group on it needs no shuffle of its rows.
+
+    Its files are in the shared folder as well; the session's catalog only knows how they are dealt.
+    """
+    path = new_path(df.sparkSession, name)
     table = f"chronomill_{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).format("parquet").saveAsTable(table)
+    df.write.bucketBy(buckets, key).format("parquet").option("path", path).saveAsTable(table)
     return df.sparkSession.table(table)
 
 
@@ -64,13 +68,18 @@ def crc_remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def hashed_sample(df: DataFrame, key: str, expected_rows: int) -> DataFrame:
-    """About `expected_rows` rows of `df`, picked by a hash of `key`; all, if there are fewer."""
+def hashed_sample(df: DataFrame, expected_rows: int) -> DataFrame:
+    """About `expected_rows` rows of `df`, picked by a hash of its doc_id and text (what there is of them).
+
+    Never more than twice as many, also if a text fills the table; all rows, if there are fewer.
+    """
     total = df.count()
     if total <= expected_rows:
         return df
     limit = int(expected_rows / total * (1 << 30))
-    return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < limit)
+    keys = [c for c in ("doc_id", "text") if c in df.columns]
+    picked = F.pmod(F.xxhash64(F.lit("sample"), *[F.col(c) for c in keys]), F.lit(1 << 30)) < limit
+    return df.where(picked).limit(2 * expected_rows)
 
 
 def slices(batches, column: str, limit: int = 4_000_000):

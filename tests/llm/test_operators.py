@@ -257,7 +257,7 @@ def test_quality(spark, docs, none):
 
 def test_quality_score_covers_whole_documents():
     net = quality.Network.start()
-    net.combine = np.array([0.0, 1.0, 0, 0])  # the lowest chunk decides
+    net.combine = np.array([0.0, 1.0, 0, 0, 0, 0])  # the lowest chunk decides
     text = "a" * 20_000
     assert net.score([text])[0] != net.score([text[:-5] + "#!#!#"])[0] or net.score([text])[0] != net.score(["#!#!#" + text[5:]])[0]
     alone = net.score(["b" * 700, "c" * 10])
