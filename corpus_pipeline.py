@@ -12,7 +12,7 @@ from chronomill.llm.shared import new_path
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told, with lang as predicted; those without a letter go."""
-    model = language_id.fit(docs.select("text", "lang"))
+    model = language_id.fit(docs.select("doc_id", "text", "lang"))
     found = language_id.identified(docs, model).where(F.col("lang_pred") != language_id.UNDETERMINED)
     return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
