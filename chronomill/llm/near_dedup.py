@@ -155,13 +155,14 @@ def similar_documents(
     )
     # One row for each node and band: copies of a set are combined before the shuffle.
     exploded = sketch.where("node is not null").select("node", F.posexplode("bands").alias("band", "hash"))
-    placed = exploded.select("node", F.xxhash64("band", "hash").alias("bucket"))
+    placed = exploded.select("node", F.xxhash64("band", "hash").alias("bucket")).distinct()
     low = placed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     candidates = placed.join(low.select("bucket", "low"), "bucket").where("node <> low")
     groups = stored(components(candidates.select(F.col("node").alias("a"), F.col("low").alias("b"))), "candidates")
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-
-    members = groups.join(sizes, "root").join(nodes, "node").select("node", "root", "members", "copies", "low_id", "low_key")
+    # Only groups of more than one tile need their size; there are few, so this join seldom deals rows by group.
+    large = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > tile)
+    members = groups.join(large, "root", "left").join(nodes, "node")
+    members = members.select("node", "root", F.coalesce("members", F.lit(1)).alias("members"), "copies", "low_id", "low_key")
     parts = F.ceil(F.col("members") / tile).cast("int")
     members = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int"))
     whose = (F.col("text_key") == F.col("low_key")) & F.col("doc_id").eqNullSafe(F.col("low_id"))
