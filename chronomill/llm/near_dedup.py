@@ -7,7 +7,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -132,13 +132,18 @@ def similar_documents(
     smallest doc_id, which is the one kept. n_copies counts the rows with the same set (itself
     included), n_links all other rows that a row is linked with, copies included. Null text counts
     as empty. A text without words has no grams and no links: it is a class of its own. Rows
-    that repeat an id share its verdict; a null id is kept only where its class has no id at all. No rows give no rows; other columns are not read.
+    that repeat an id are judged each by its own text; a null id is kept only where its class has no id at all. No rows give no rows; other columns are not read.
 
     Equal sets are one node. Nodes that share a band hash are candidates, chained to their
     band's smallest node, and each connected set of candidates meets once with its full sets,
     in tiles of `tile` x `tile` nodes where it is large; a tile gives counts and a spanning
     forest of its links, never pairs.
     """
+    return _judged(docs, threshold, width, recall, tile).drop("text_key", "root")
+
+
+def _judged(docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS, recall: float = RECALL, tile: int = 512) -> DataFrame:
+    """The rows of `similar_documents` with their text_key and root (a node of the class; null without words)."""
     bands, rows = choose_bands(threshold, recall)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     read = read.withColumn("text_key", F.xxhash64("text"))
@@ -178,11 +183,13 @@ def similar_documents(
     links = tallies.groupBy("node").agg(F.sum("links").alias("links"))
     labelled = nodes.join(links, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = labelled.groupBy("root").agg(F.min("low_id").alias("class_id"))
-    verdict = labelled.join(names, "root").select("node", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    found = sketch.select("doc_id", "node").join(verdict, "node", "left")
+    verdict = labelled.join(names, "root").select("node", "root", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    found = sketch.select("doc_id", "text_key", "node").join(verdict, "node", "left")
     class_id = F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     return found.select(
         "doc_id",
+        "text_key",
+        "root",
         class_id.alias("class_id"),
         F.col("doc_id").eqNullSafe(class_id).alias("kept"),
         F.coalesce("copies", F.lit(1)).alias("n_copies"),
@@ -248,6 +255,21 @@ def _verified(tiles: DataFrame, threshold: float) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
-    """`docs` with one document of each class of similar documents, all columns as they were."""
-    drop = similar_documents(docs, **settings).where("not kept").select(F.col("doc_id").alias("_drop_id")).distinct()
-    return docs.join(drop, docs["doc_id"].eqNullSafe(drop["_drop_id"]), "left_anti")
+    """`docs` with one document of each class of similar documents, all columns as they were.
+
+    A row is told by its id and its text: other texts of a repeated id, or of a null id, stay or go
+    with their own classes. Where several rows of a class have the id that is kept, one of them stays.
+    """
+    judged = stored(_judged(docs, **settings).select("doc_id", "text_key", "root", "kept"), "near-verdicts")
+    kept = judged.where("kept and root is not null")
+    several = kept.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.min("text_key").alias("stay_key")).where("rows > 1")
+    repeated = kept.join(several, "root").select("doc_id", "text_key", (F.col("text_key") != F.col("stay_key")).alias("drop"))
+    marks = judged.where("not kept").select("doc_id", "text_key", F.lit(True).alias("drop")).union(repeated).distinct()
+    marks = stored(marks.select(F.col("doc_id").alias("_near_id"), F.col("text_key").alias("_near_mark"), "drop"), "near-marks")
+    keyed = docs.withColumn("_near_key", F.xxhash64(text_or_empty()))
+    same = (F.col("_near_key") == F.col("_near_mark")) & F.col("doc_id").eqNullSafe(F.col("_near_id"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    alone = keyed.join(marks.drop("drop"), same, "left_anti").select(*columns)
+    repeats = Window.partitionBy("_near_key", "doc_id").orderBy("_near_key")
+    first = keyed.join(marks.where("not drop").drop("drop"), same, "left_semi").withColumn("_near_row", F.row_number().over(repeats))
+    return alone.union(first.where("_near_row = 1").select(*columns))

@@ -148,6 +148,29 @@ def test_near_duplicates_awkward(docs, none):
     assert near_dedup.without_near_duplicates(docs).columns == docs.columns
 
 
+def test_near_duplicates_are_told_by_id_and_text(spark):
+    near = BASE + " tail"
+    data = [
+        (7, BASE, "a"),
+        (None, prose(60, 40), "unique, null id"),
+        (None, near, "near copy of 7, null id"),
+        (8, near, "near copy of 7"),
+        (8, prose(60, 41), "unique, id 8 again"),
+        (9, prose(60, 42), "b"),
+        (9, prose(60, 42) + " tail", "near copy under the same id"),
+        (None, prose(60, 43), "c"),
+        (None, prose(60, 43), "exact copy, both ids null"),
+        (None, prose(60, 43) + " tail", "near copy, both ids null"),
+        (10, "!!!", "no words"),
+        (None, None, "no words, null id"),
+    ]
+    df = spark.createDataFrame(data, "doc_id long, text string, _row string")
+    kept = rows(near_dedup.without_near_duplicates(df))
+    own = {"a", "unique, null id", "unique, id 8 again", "no words", "no words, null id"}
+    assert own <= {r["_row"] for r in kept} and len(kept) == len(own) + 2
+    assert [r["doc_id"] for r in kept if r["_row"] not in own and r["doc_id"] is not None] == [9]
+
+
 def test_bands_reach_the_recall():
     bands, r = near_dedup.choose_bands(0.8, 0.9999)
     assert 1 - (1 - 0.8**r) ** bands >= 0.9999 > 1 - (1 - 0.8**r) ** (bands - 1)
