@@ -25,6 +25,8 @@ KINDS = [s[0] for s in SHAPES] + ["markov"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 _SIZE = len(ALPHABET) + 1
+#: Numbers of the characters that join parts of a run.
+_JOINTS = {ALPHABET.index(c) + 1 for c in "=/_-"}
 
 
 def found_spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -105,7 +107,8 @@ _PARTS = "get set make build parse read write load save find item user name valu
 
 
 def ordinary_samples(docs: DataFrame, sample_docs: int = 1_500) -> DataFrame:
-    """Labelled ordinary strings: long words of about `sample_docs` documents, and compound identifiers.
+    """Labelled ordinary strings: long words of about `sample_docs` documents, a third of them in capitals and
+    a third in camel case as well, and compound identifiers, constants, paths and numbers.
 
     Words with a digit are left out, since a sample of the corpus may itself hold secrets.
     """
@@ -114,13 +117,19 @@ def ordinary_samples(docs: DataFrame, sample_docs: int = 1_500) -> DataFrame:
     words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z_-]{7,40}"), F.lit(0))).alias("sample"))
     parts = F.split(F.lit(" ".join(_PARTS)), " ")
     pick = lambda k: F.element_at(parts, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(_PARTS))) + 1).cast("int"))
-    made = spark.range(4_000).select(
-        F.when(F.col("id") % 3 == 0, F.concat_ws("_", pick(1), pick(2), pick(3)))
-        .when(F.col("id") % 3 == 1, F.concat(pick(1), F.initcap(pick(2)), F.initcap(pick(3))))
-        .otherwise(F.concat_ws("-", pick(1), pick(2), pick(3), pick(4)))
+    shouted = words.where(F.pmod(F.xxhash64("sample"), F.lit(3)) == 0).select(F.upper("sample").alias("sample"))
+    joined = words.where(F.pmod(F.xxhash64("sample"), F.lit(3)) == 1).select(F.concat(F.lower("sample"), F.initcap("sample")).alias("sample"))
+    number = F.pmod(F.xxhash64("id", F.lit(5)), F.element_at(F.array(*[F.lit(10**n) for n in range(2, 13)]), F.pmod(F.col("id"), F.lit(11)).cast("int") + 1))
+    made = spark.range(12_000).select(
+        F.when(F.col("id") % 6 == 0, F.concat_ws("_", pick(1), pick(2), pick(3)))
+        .when(F.col("id") % 6 == 1, F.concat(pick(1), F.initcap(pick(2)), F.initcap(pick(3))))
+        .when(F.col("id") % 6 == 2, F.concat_ws("-", pick(1), pick(2), pick(3), pick(4)))
+        .when(F.col("id") % 6 == 3, F.upper(F.concat_ws("_", pick(1), pick(2), pick(3))))
+        .when(F.col("id") % 6 == 4, F.concat(pick(1), F.lit("/"), pick(2), F.lit("/"), pick(3), F.lit("="), pick(4)))
+        .otherwise(F.concat_ws("-", pick(1), number.cast("string"), pick(2)))
         .alias("sample")
     )
-    return words.union(made).select(F.lit("ordinary").alias("label"), "sample")
+    return words.union(shouted).union(joined).union(made).select(F.lit("ordinary").alias("label"), "sample")
 
 
 def fit(docs: DataFrame, sample_docs: int = 1_500) -> list[float]:
@@ -132,23 +141,37 @@ def fit(docs: DataFrame, sample_docs: int = 1_500) -> list[float]:
     return log_ratios(counts)
 
 
-def likelihood_ratio(sample: Column, ratios: list[float]) -> Column:
-    """Mean log-likelihood ratio per transition: above 0 the random model explains the string better."""
-    table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
+def likelihood_ratio(sample: Column, ratios: list[float], stretch: int = 16) -> Column:
+    """Highest mean log-likelihood ratio per transition of any `stretch` neighbouring characters (of all, in a
+    shorter sample): above 0 the random model explains that stretch better, however ordinary the rest is.
+
+    A transition from or to one of = / _ - joins parts and is no evidence of randomness: it counts 0 at most.
+    """
+    held = [min(r, 0.0) if _JOINTS & {i // _SIZE, i % _SIZE} else r for i, r in enumerate(ratios)]
+    table = F.split(F.lit(",".join(map(str, held))), ",").cast("array<double>")
+    width = F.least(F.lit(stretch), F.length(sample)) - 1
+    bound = lambda column, use: F.element_at(F.transform(F.array(column), use), 1)  # noqa: E731  computed once
     codes = F.transform(F.split(sample, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    zero = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
-    step = lambda s, c: F.struct(
-        c.alias("last"), F.when(s["last"] < 0, 0.0).otherwise(s["sum"] + F.element_at(table, s["last"] * _SIZE + c + 1)).alias("sum")
-    )
-    return F.aggregate(codes, zero, step, lambda s: s["sum"]) / F.greatest(F.length(sample) - 1, F.lit(1))
+    pairs = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.element_at(table, F.element_at(c, i) * _SIZE + F.element_at(c, i + 1) + 1))
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(float("-inf")).alias("best"))
+
+    def step(x, n):
+        def add(s, i):
+            total = s["sum"] + F.element_at(x, i) - F.when(i > n, F.element_at(x, F.greatest(i - n, F.lit(1)))).otherwise(0.0)
+            return F.struct(total.alias("sum"), F.when(i >= n, F.greatest(s["best"], total)).otherwise(s["best"]).alias("best"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(x)), zero, add, lambda s: s["best"] / n)
+
+    best = bound(codes, lambda c: bound(pairs(c), lambda x: step(x, width)))
+    return F.when(F.length(sample) > 1, best).otherwise(0.0)
 
 
 def scanned(docs: DataFrame, ratios: list[float], threshold: float = 0.8) -> DataFrame:
     """All columns of `docs`, base_spans and spans: arrays of (start, end, kind) by start, then kind.
 
     Base spans are the matches of SHAPES. The model adds runs of 16 or more token characters that
-    hold both a letter and a digit, touch no base span, and whose mean log-likelihood ratio is above
-    `threshold`. Null text counts as empty and has no spans. Columns with these names are replaced.
+    hold a letter, touch no base span, and have a stretch of 16 characters whose mean log-likelihood
+    ratio is above `threshold`; the span is the whole run. Null text counts as empty and has no spans. Columns with these names are replaced.
     """
     kept = docs.drop("base_spans", "spans")
     text = text_or_empty()
@@ -165,9 +188,9 @@ def scanned(docs: DataFrame, ratios: list[float], threshold: float = 0.8) -> Dat
 
     def random(s):
         run = shown(s)
-        mixed = F.regexp_like(run, F.lit("[0-9]")) & F.regexp_like(run, F.lit("[A-Za-z]"))
+        letters = F.regexp_like(run, F.lit("[A-Za-z]"))
         free = ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return F.when(mixed & free, likelihood_ratio(run, ratios) > threshold).otherwise(False)
+        return F.when(letters & free, likelihood_ratio(run, ratios) > threshold).otherwise(False)
 
     return base.withColumn("spans", F.array_sort(F.concat("base_spans", F.filter(runs, random)), by_place))
 

@@ -224,6 +224,20 @@ def test_markov_model_tells_random_from_ordinary(spark):
     assert rows(secrets.redacted(scans))[0]["text"] == " ".join(["[secret]"] * 3 + ordinary)
 
 
+def test_markov_model_finds_secrets_joined_to_ordinary_words(spark):
+    english = " ".join([*licenses.TEMPLATES.values(), "credentials production database connection configuration authentication"]) + " "
+    prose_docs = spark.createDataFrame([(i, english * 5 + prose(200, i)) for i in range(20)], "doc_id long, text string")
+    ratios = secrets.fit(prose_docs)
+    secret = "zX9kQ2mL7vB4nT8rW1yH"
+    random_ = [p + secret for p in ("client_credentials=", "user-service-prod-", "config/service/production/credentials/", "database_connection_credential=")]
+    random_ += ["zXvkQqmLRvBjnTgrWzyH", secret + "-service-connection-production-name"]
+    ordinary = ["client_credentials=service_name", "config/service/production/credentials/file", "order-1683436113538828-total", "tarionmulkeessriontamul", "DATABASE_CONNECTION_NAME"]
+    text = " ".join(random_ + ordinary)
+    df = spark.createDataFrame([(1, text), (2, "1683436113538828")], "doc_id long, text string")
+    spans = {r["doc_id"]: [text[s["start"] : s["end"]] for s in r["spans"]] for r in rows(secrets.scanned(df, ratios))}
+    assert spans == {1: random_, 2: []}
+
+
 def test_redaction_replaces_overlapping_spans_once(spark):
     text = "é token=deadbeefdeadbeefdeadbeef00 end"
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
