@@ -35,66 +35,134 @@ TEMPLATES = {
 }
 
 
-def template_rows(templates: dict[str, str], k: int = K) -> list[tuple[int, str, int, int]]:
-    """(hash, template, position, template length in words) for every k-gram of every template."""
+def vote_rule(size: int, k: int = K, least: float = 0.8) -> tuple[int, int]:
+    """Width of the grams that vote for a template of `size` words, and the votes a span needs: one or two.
+
+    A span that verification accepts may lack a share 1 - `least` of the words; each kills up to
+    `width` grams, and words put in at one place kill width - 1. Widths go from `k` down to 2 until a vote is sure to be left.
+    """
+    lacking = int((1 - least) * size + 1e-9)
+    for width in range(k, 1, -1):
+        left = size - width + 1 - width * lacking - (width - 1)
+        if left >= 1:
+            break
+    return min(width, size), min(2, max(1, left))
+
+
+def template_rows(templates: dict[str, str], k: int = K, drift: int = 3, share: float | None = None, least: float = 0.8) -> list[tuple]:
+    """(gram, template, position, template length in words, width, votes needed, drift) for every gram of every template."""
     hashes, rows = WordHashes(), []
     for name, text in templates.items():
         words = words_of(text)
         if len(words) < k:
             raise ValueError(f"template {name} has fewer than {k} words")
-        grams = rolling(hashes.of(words), k).view(np.int64)
-        rows += [(int(h), name, i, len(words)) for i, h in enumerate(grams)]
+        width, need = vote_rule(len(words), k, least) if share is None else (k, max(1, int(np.ceil(share * (len(words) - k + 1)))))
+        grams = rolling(hashes.of(words), width).view(np.int64)
+        rows += [(int(h), name, i, len(words), width, need, slack(len(words), drift, least)) for i, h in enumerate(grams)]
     return rows
 
 
-def word_grams(docs: DataFrame, k: int = K) -> DataFrame:
-    """doc_id, text_key and grams: the hashes of all rolling runs of `k` words of the whole text, in order."""
+def slack(size: int, drift: int, least: float) -> int:
+    """Words by which a span may shift within one template: the words it may lack, `drift` at least."""
+    return max(drift, int(np.ceil((1 - least) * size - 1e-9)))
+
+
+def word_grams(docs: DataFrame, widths: list[int]) -> DataFrame:
+    """doc_id, text_key, width and grams: the hashes of all rolling runs of that many words of the whole text, in order."""
 
     def run(batches):
         hashes = WordHashes()
         for part in slices(batches, "text", 1_000_000):
-            grams = [rolling(hashes.of(words_of(x)), k).view(np.int64) for x in part.column("text").to_pylist()]
-            ends = np.cumsum([0, *map(len, grams)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(grams) if grams else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), lists], names=["doc_id", "text_key", "grams"])
+            words = [hashes.of(words_of(x)) for x in part.column("text").to_pylist()]
+            for width in widths:
+                grams = [rolling(w, width).view(np.int64) for w in words]
+                ends = np.cumsum([0, *map(len, grams)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(grams) if grams else np.empty(0, np.int64)))
+                same = pa.array(np.full(len(words), width, np.int32))
+                columns = [part.column("doc_id"), part.column("text_key"), same, lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "width", "grams"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, grams array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_key long, width int, grams array<long>")
 
 
-def voted_spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES, k: int = K, drift: int = 3, share: float = 0.6) -> DataFrame:
+def voted_spans(
+    docs: DataFrame, templates: dict[str, str] = TEMPLATES, k: int = K, drift: int = 3, share: float | None = None, least: float = 0.8
+) -> DataFrame:
     """Candidate spans (doc_id, text_key, template, first, last, votes, size) by diagonal voting.
 
-    Every k-gram of every document that a template holds votes for the diagonal document position -
-    template position. Diagonals at most `drift` apart that belong to one template merge
-    (words put in or left out shift the diagonal); the span is where their votes lie, and it
-    stays if it has `share` of the template's k-grams. The template table's size is fixed by
-    the templates given, so it is broadcast and no k-gram is shuffled that matches nothing.
+    Every gram of every document that a template holds votes for the diagonal document position -
+    template position. Diagonals that lie close (see `slack`) and belong to one template merge
+    (words put in or left out shift the diagonal); the span is where their votes lie and where the
+    whole template would lie from them. Voting only has to miss nothing that verification accepts:
+    a span stays with one or two of the template's grams (see `vote_rule`), or with `share` of them if that is
+    given. The template table's size is fixed by the templates given, so it is broadcast and no
+    gram is shuffled that matches nothing.
     """
     spark = docs.sparkSession
-    table = spark.createDataFrame(template_rows(templates, k), "gram long, template string, place int, size int")
-    grams = word_grams(docs, k).select("doc_id", "text_key", F.posexplode("grams").alias("pos", "gram"))
-    hits = grams.join(F.broadcast(table), "gram").select("doc_id", "text_key", "template", "size", "pos", (F.col("pos") - F.col("place")).alias("diagonal"))
-    hits = hits.distinct()  # rows that repeat a document vote once
-    diagonals = hits.groupBy("doc_id", "text_key", "template", "size", "diagonal").agg(
-        F.count(F.lit(1)).alias("votes"), F.min("pos").alias("first"), (F.max("pos") + k - 1).alias("last")
+    rows = template_rows(templates, k, drift, share, least)
+    table = spark.createDataFrame(rows, "gram long, template string, place int, size int, width int, need int, slack int")
+    grams = word_grams(docs, sorted({r[4] for r in rows})).select("doc_id", "text_key", "width", F.posexplode("grams").alias("pos", "gram"))
+    hits = grams.join(F.broadcast(table), ["gram", "width"]).withColumn("diagonal", F.col("pos") - F.col("place"))
+    whose = ["doc_id", "text_key", "template", "size", "need", "slack"]
+    hits = hits.select(*whose, "width", "pos", "diagonal").distinct()  # rows that repeat a document vote once
+    diagonals = hits.groupBy(*whose, "diagonal").agg(
+        F.count(F.lit(1)).alias("votes"), F.min("pos").alias("first"), F.max(F.col("pos") + F.col("width") - 1).alias("last")
     )
-    line = Window.partitionBy("doc_id", "text_key", "template", "size").orderBy("diagonal")
-    fresh = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(line) > drift).cast("int"), F.lit(1))
+    line = Window.partitionBy(*whose).orderBy("diagonal")
+    fresh = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(line) > F.col("slack")).cast("int"), F.lit(1))
     merged = diagonals.withColumn("run", fresh).withColumn("run", F.sum("run").over(line))
-    spans = merged.groupBy("doc_id", "text_key", "template", "size", "run").agg(
-        F.min("first").alias("first"), F.max("last").alias("last"), F.sum("votes").alias("votes")
+    spans = merged.groupBy(*whose, "run").agg(
+        F.least(F.min("first"), F.min("diagonal")).alias("first"),
+        F.greatest(F.max("last"), F.max("diagonal") + F.col("size") - 1).alias("last"),
+        F.sum("votes").alias("votes"),
     )
-    enough = F.col("votes") >= F.greatest(F.lit(1), F.ceil(share * (F.col("size") - k + 1)))
-    return spans.where(enough).drop("run")
+    return spans.where("votes >= need").drop("run", "need", "slack")
 
 
 def alignment(found: list[bytes], wanted: list[bytes]) -> float:
     """Share of the template's words that stand in the span in order (longest common subsequence)."""
-    row = np.zeros(len(wanted) + 1, np.int64)
-    for w in found:
-        same = np.array([w == x for x in wanted])
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(same, row[:-1] + 1, 0)))
-    return float(row[-1]) / len(wanted)
+    return _aligned(found, wanted)[0] / len(wanted)
+
+
+def _aligned(found: list[bytes], wanted: list[bytes]) -> tuple[int, int]:
+    """Length of the longest common subsequence, and how many words of `found` it takes from the start."""
+    row, most, end = np.zeros(len(wanted) + 1, np.int64), 0, 0
+    places = {w: np.array([w == x for x in wanted]) for w in set(wanted)}
+    for i, w in enumerate(found):
+        if w in places:
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(places[w], row[:-1] + 1, 0)))
+            if row[-1] > most:
+                most, end = int(row[-1]), i + 1
+    return most, end
+
+
+def verified(words: list[bytes], voted: list[dict], wanted: dict[str, list[bytes]], drift: int = 3, least: float = 0.8) -> list[dict]:
+    """Spans in which at least `least` of the template's words stand in order, from the first such word to the last.
+
+    Of spans that share half of the words of one of them, that stays which is most like its template
+    (words in order, by all words of both): CC BY-NC 4.0 holds all words of CC BY 4.0 in order, but is not it.
+    """
+    kept = []
+    for v in voted:
+        name = v["template"]
+        reach = max(slack(len(wanted[name]), drift, least), len(wanted[name]) // 2)
+        first, last = max(0, v["first"] - reach), min(len(words) - 1, v["last"] + reach)
+        found = words[first : last + 1]
+        most, end = _aligned(found, wanted[name])
+        if most >= least * len(wanted[name]) - 1e-9:
+            start = end - _aligned(found[:end][::-1], wanted[name][::-1])[1]
+            like = most / (len(wanted[name]) + end - start - most)
+            kept.append((like, {"template": name, "first": first + start, "last": first + end - 1, "score": most / len(wanted[name])}))
+    best: list[tuple[float, dict]] = []
+    for like, s in sorted(kept, key=lambda x: (-x[0], x[1]["first"], x[1]["template"])):
+        def beaten(like_t, t):
+            both = min(s["last"], t["last"]) - max(s["first"], t["first"]) + 1
+            near = 2 * both >= min(s["last"] - s["first"], t["last"] - t["first"]) + 1
+            return both > 0 and near and (like < like_t or s["template"] == t["template"])
+
+        if not any(beaten(*x) for x in best):
+            best.append((like, s))
+    return sorted((s for _, s in best), key=lambda s: (s["first"], s["template"]))
 
 
 def base_places(words: list[bytes], phrases: dict[str, str] = BASE) -> dict[str, list[int]]:
@@ -113,17 +181,17 @@ def base_places(words: list[bytes], phrases: dict[str, str] = BASE) -> dict[str,
     return out
 
 
-def licensed(docs: DataFrame, templates: dict[str, str] = TEMPLATES, k: int = K, drift: int = 3, share: float = 0.6, least: float = 0.8) -> DataFrame:
+def licensed(docs: DataFrame, templates: dict[str, str] = TEMPLATES, k: int = K, drift: int = 3, share: float | None = None, least: float = 0.8) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, base (phrase label, position), spans (template, first, last, score).
 
     Voted spans are read again, word by word: a span stays if at least `least` of its template's
-    words stand there in order; that share is its score. A span may begin up to `drift` words before
-    its first vote and end as far after its last. Null text counts as empty: no words, no spans.
+    words stand there in order; that share is its score. A span may begin before its first vote and
+    end after its last, by `drift` words or half of the template's. Null text counts as empty: no words, no spans.
     Rows that repeat an id are scanned each by its own text. Other columns are not read.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     read = read.withColumn("text_key", F.xxhash64("text"))
-    voted = voted_spans(read, templates, k, drift, share)
+    voted = voted_spans(read, templates, k, drift, share, least)
     # At most one span a diagonal run: bounded by the document's own length.
     listed = voted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("template", "first", "last")).alias("voted"))
     joined = read.join(
@@ -143,13 +211,7 @@ def licensed(docs: DataFrame, templates: dict[str, str] = TEMPLATES, k: int = K,
                 words = words_of(text)
                 counts.append(len(words))
                 bases.append([{"label": BASE[p], "pos": i} for p, places in base_places(words).items() for i in places])
-                kept = []
-                for v in voted or ():
-                    first, last = max(0, v["first"] - drift), min(len(words) - 1, v["last"] + drift)
-                    score = alignment(words[first : last + 1], wanted[v["template"]])
-                    if score >= least:
-                        kept.append({"template": v["template"], "first": v["first"], "last": v["last"], "score": score})
-                spans.append(sorted(kept, key=lambda s: (s["first"], s["template"])))
+                spans.append(verified(words, voted or [], wanted, drift, least))
             yield pa.record_batch(
                 [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(bases, base_type), pa.array(spans, span_type)],
                 names=["doc_id", "n_words", "base", "spans"],

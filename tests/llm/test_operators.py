@@ -440,6 +440,28 @@ def test_licenses(spark, docs, none):
     assert rows(licenses.license_digest(none)) == []
 
 
+def test_licenses_let_the_alignment_decide(spark):
+    mit = licenses.TEMPLATES["mit"].split()
+    far, near = list(mit), list(mit)
+    far[25:25] = "the Example Software Holding Company of North and South Anywhere Limited".split()
+    near[25:25] = "Example Holding Company Limited".split()
+    texts = {
+        "Released under an MIT License": "mit-line",
+        "Licensed under the Other License, Version 2.0": "apache-line",
+        " ".join(near): "mit",
+        " ".join(far): "mit",
+        "Licensed under CC BY 4.0": "cc-by-line",
+        "Licensed under CC BY-NC 4.0": "cc-by-nc-line",
+        "under the table, under the MIT roof": "",
+    }
+    data = [(i, f"{prose(30, 50 + i)} {t}. {prose(30, 90 + i)}") for i, t in enumerate(texts)]
+    found = {r["doc_id"]: r for r in rows(licenses.licensed(spark.createDataFrame(data, "doc_id long, text string")))}
+    assert [",".join(s["template"] for s in found[i]["spans"]) for i in range(len(texts))] == list(texts.values())
+    for i, text in enumerate(texts):
+        for s in found[i]["spans"]:
+            assert (s["first"], s["last"]) == (30, 29 + len(licenses.words_of(text)))
+
+
 # token counts
 
 
