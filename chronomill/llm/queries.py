@@ -78,18 +78,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A history of four commits over all documents, two of them sent twice.
 
     All documents come under words-1; all are counted again under words-2; all of src0
-    leave words-1 (its deletion has reached that version only); and all documents without a language
-    code en are revised in words-1 to the counts of words-2.
+    leave words-1 (its deletion has reached that version only); and all other documents with a language
+    code other than en are revised in words-1 to the counts of words-2. A null source is not src0; a null
+    code is no code and is not revised, as in the SQL.
     """
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     first, second = (token_counts.counted(docs, t) for t in ("words-1", "words-2"))
     rollup = token_counts.Rollup(spark, new_path(spark, "token-rollup"))
-    revised = second.where("lang <> 'en' and source <> 'src0'").withColumn("tokenizer", F.lit("words-1"))
+    others = "lang <> 'en' and not source <=> 'src0'"
+    revised = second.where(others).withColumn("tokenizer", F.lit("words-1"))
     for _ in range(2):
         rollup.commit("2024-01-load", token_counts.inserts(first))
         rollup.commit("2024-02-recount", token_counts.inserts(second))
     rollup.commit("2024-03-delete", token_counts.deletes(first.where("source = 'src0'")))
-    before = first.where("lang <> 'en' and source <> 'src0'")
+    before = first.where(others)
     rollup.commit("2024-04-revise", token_counts.revisions(before, revised))
     return rollup.totals()
 

@@ -67,3 +67,14 @@ def test_oracles(spark, name):
     expected = con.execute(queries.ORACLE_SQL[name]).df()[list(found.columns)]
     key = lambda df: sorted(map(repr, df.astype(object).where(df.notna(), None).itertuples(index=False, name=None)))
     assert key(found) == key(expected)
+
+
+def test_token_counts_with_null_keys_match_their_sql(spark, tmp_path):
+    data = [(i, "don't stop-me now", lang, source, 0) for i, (lang, source) in enumerate((a, b) for a in ("en", "de", None) for b in ("src0", "src1", None))]
+    spark.createDataFrame(data, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op10_token_counts(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ("source", "lang", "tokenizer", "docs", "tokens")
+    expected = con.execute(queries.ORACLE_SQL["op10_token_counts"]).fetchall()
+    assert sorted((tuple(r[c] for c in columns) for r in found), key=repr) == sorted(expected, key=repr)
