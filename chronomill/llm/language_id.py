@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hashed_sample, slices, text_or_empty, texts_of
+from .shared import slices, text_or_empty, texts_of
 
 UNDETERMINED = "und"
 _WORDY = re.compile(r"[^\W\d_]")
@@ -77,13 +77,24 @@ class Model:
         return labels, np.where(letters, np.clip(certain, 0.0, 1.0), 0.0)
 
 
-def fit(labelled: DataFrame, train_rows: int = 6_000, bits: int = 16, longest: int = 3, smoothing: float = 0.5) -> Model:
-    """Fit on about `train_rows` rows (text, lang), twice as many at most, picked by a hash; null languages are left out.
+def fit(labelled: DataFrame, train_rows: int = 6_000, bits: int = 16, longest: int = 3, smoothing: float = 0.5, least_rows: int = 200) -> Model:
+    """Fit on about `train_rows` rows (text, lang) picked by a hash, and about `least_rows` of each language at least
+    (all that there are of a rarer one), twice as many at most; null languages are left out.
 
-    One executor task sums the gram counts of that bounded sample, so what reaches the driver is
-    languages x 2**bits numbers. No labelled rows give a model that answers `und`.
+    Languages are counted over all rows, which gives their priors. One executor task sums the gram
+    counts of that bounded sample, so what reaches the driver is languages x 2**bits numbers. No
+    labelled rows give a model that answers `und`.
     """
-    rows = hashed_sample(labelled.where(F.col("lang").isNotNull()), train_rows).select("lang", text_or_empty().alias("text"))
+    known = labelled.where(F.col("lang").isNotNull())
+    total = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = train_rows / max(sum(total.values()), 1)
+    limits = [(lang, int(min(1.0, max(share, least_rows / n)) * (1 << 30))) for lang, n in total.items()]
+    limit = known.sparkSession.createDataFrame(limits, "_lang string, _limit long")
+    keys = [F.col(c) for c in ("doc_id", "text") if c in known.columns]
+    picked = F.pmod(F.xxhash64(F.lit("sample"), *keys), F.lit(1 << 30)) < F.col("_limit")
+    sample = known.join(F.broadcast(limit), F.col("lang") == F.col("_lang")).where(picked)
+    # Repeats of one text without an id would come or go together: the bound holds whatever the table.
+    rows = sample.limit(2 * (train_rows + least_rows * len(total))).select("lang", text_or_empty().alias("text"))
 
     def count(batches):
         sums, documents = {}, {}
@@ -108,7 +119,7 @@ def fit(labelled: DataFrame, train_rows: int = 6_000, bits: int = 16, longest: i
     for r in found:
         at = labels.index(r["lang"])
         counts[:, at] += np.frombuffer(r["counts"], "<f8")
-        documents[at] += r["documents"]
+    documents[:] = [total[lang] for lang in labels]
     log_prob = np.log(counts + smoothing) - np.log((counts + smoothing).sum(0))
     return Model(labels, np.log(documents / max(documents.sum(), 1)) if labels else documents, log_prob.astype(np.float32), bits, longest)
 

@@ -11,10 +11,11 @@ from chronomill.llm.shared import new_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told, with lang as predicted; those without a letter go."""
+    """Documents with a letter, lang as predicted; where no row has a lang to learn from, it stays as it is."""
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
-    found = language_id.identified(docs, model).where(F.col("lang_pred") != language_id.UNDETERMINED)
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    told = F.col("lang_pred") != language_id.UNDETERMINED
+    found = language_id.identified(docs, model).where(told | F.regexp_like(F.col("text"), F.lit(r"\p{L}")))
+    return found.withColumn("lang", F.when(told, F.col("lang_pred")).otherwise(F.col("lang"))).select(*docs.columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -265,6 +265,12 @@ def test_language(spark, docs, none):
     assert {r["lang_pred"] for r in rows(language_id.identified(docs, language_id.fit(none)))} == {"und"}
 
 
+def test_rare_languages_are_learned_too(spark):
+    data = [(i, "en", "the and of that with this from") for i in range(3000)] + [(5000 + i, "fi", "että ja hän oli kun mutta") for i in range(3)]
+    model = language_id.fit(spark.createDataFrame(data, "doc_id long, lang string, text string"), train_rows=100)
+    assert model.labels == ["en", "fi"] and model.score(["hän oli että", "this and that"])[0] == ["fi", "en"]
+
+
 def test_grams_match_a_plain_count():
     texts = ["Abc", "", "ünïç🙂"]
     indptr, indices = language_id.hashed_grams(texts, 16, 3)

@@ -42,6 +42,13 @@ def test_stages(spark, docs):
     assert len({r["doc_id"] for r in seen["pack"]}) == 4
 
 
+def test_language_stage_without_labels_keeps_texts_with_letters(spark, docs):
+    from pyspark.sql import functions as F
+
+    found = corpus_pipeline.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), "").collect()
+    assert sorted((r["doc_id"] for r in found), key=str) == [1, 2, 3, 4, 8, None] and {r["lang"] for r in found} == {None}
+
+
 def test_stages_on_no_rows(spark, docs):
     now = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
