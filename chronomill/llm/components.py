@@ -9,7 +9,7 @@ from .shared import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root for every node of `edges` (a, b: long); the root is a component's smallest node.
+    """node, root for every node of `edges` (a, b: of any one type that has an order); the root is a component's smallest node.
 
     Alternates the large-star and small-star steps until the edges stand still, each as joins on
     the node, so no node's neighbours are ever gathered in one place.

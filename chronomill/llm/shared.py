@@ -16,10 +16,12 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder named by spark.checkpoint.dir; where that is unset and all runs on one machine (tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_folder:
         folder = tempfile.mkdtemp(prefix="chronomill-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -59,8 +61,59 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """`wanted` with as many underscores behind each as keep it apart from all `columns`, upper and lower case alike."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """`name` for F.col, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def all_of(columns: list[str]) -> list[Column]:
+    return [F.col(quoted(c)) for c in columns]
+
+
+#: Bits of one row of a bitmap: what bitmap_construct_agg makes.
+_BITMAP_BITS = 32_768
+
+
+def flagged(rows: DataFrame, key: str, wanted: DataFrame, flag: str, most_bits: int = 27) -> DataFrame:
+    """`rows` and `flag`: true where the long `key` is in the column `key` of `wanted`, and in a few rows besides.
+
+    For rows with long texts, of which few are wanted: those that are not never reach the shuffle of the join
+    that follows, which decides. The wanted keys are marked in a bitmap of 16 bits a key and 2**`most_bits` bits at
+    most (16 MB), which is broadcast; where there are more keys than it tells apart, more rows are flagged, never fewer.
+    """
+    bits = int(min(most_bits, max(15, (16 * max(wanted.count(), 1)).bit_length())))
+    slot = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << bits))
+    part, mark, place = free_names([*rows.columns, flag], "_part", "_marks", "_place")
+    marks = (
+        wanted.select(slot.alias(place))
+        .groupBy(F.floor(F.col(place) / _BITMAP_BITS).cast("int").alias(part))
+        .agg(F.bitmap_construct_agg((F.col(place) % _BITMAP_BITS)).alias(mark))
+    )
+    placed = rows.withColumns({part: F.floor(slot / _BITMAP_BITS).cast("int"), place: (slot % _BITMAP_BITS).cast("int")})
+    byte = F.conv(F.hex(F.substring(mark, F.floor(F.col(place) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.call_function("shiftright", byte, F.col(place) % 8).bitwiseAND(1) == 1
+    return placed.join(F.broadcast(marks), part, "left").select(*all_of(rows.columns), F.coalesce(held, F.lit(False)).alias(flag))
+
+
+def narrowed(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of `rows` that `flagged` flags."""
+    (flag,) = free_names(rows.columns, "_flag")
+    return flagged(rows, key, wanted, flag).where(F.col(flag)).drop(flag)
+
+
 def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+    return F.coalesce(F.col(quoted(name)).cast("string"), F.lit(""))
 
 
 def crc_remainder(column: str, modulus: int) -> Column:
@@ -71,15 +124,15 @@ def crc_remainder(column: str, modulus: int) -> Column:
 def hashed_sample(df: DataFrame, expected_rows: int) -> DataFrame:
     """About `expected_rows` rows of `df`, picked by a hash of its doc_id and text (what there is of them).
 
-    Never more than twice as many, also if a text fills the table; all rows, if there are fewer.
+    Never more than twice as many, also if a text fills the table, then those with the lowest hashes; all rows, if there are fewer.
     """
     total = df.count()
     if total <= expected_rows:
         return df
     limit = int(expected_rows / total * (1 << 30))
     keys = [c for c in ("doc_id", "text") if c in df.columns]
-    picked = F.pmod(F.xxhash64(F.lit("sample"), *[F.col(c) for c in keys]), F.lit(1 << 30)) < limit
-    return df.where(picked).limit(2 * expected_rows)
+    place = F.pmod(F.xxhash64(F.lit("sample"), *[F.col(c) for c in keys]), F.lit(1 << 30))
+    return df.where(place < limit).orderBy(place).limit(2 * expected_rows)
 
 
 def slices(batches, column: str, limit: int = 4_000_000):
