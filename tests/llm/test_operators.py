@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import public_tokenizers
@@ -65,7 +66,7 @@ def rows(df):
 # exact dedup
 
 
-@pytest.mark.parametrize("settings", [{}, {"key_bits": 2, "bucket_rows": 2}])
+@pytest.mark.parametrize("settings", [{}, {"key_bits": 2, "bucket_rows": 2}, {"bucket_rows": 2, "hot_rows": 1}, {"key_bits": 1, "bucket_rows": 1, "hot_rows": 1}])
 def test_exact_dedup(docs, none, settings):
     found = rows(exact_dedup.exact_duplicates(docs, **settings))
     all_rows = rows(docs.select("doc_id", "text"))
@@ -81,12 +82,40 @@ def test_exact_dedup(docs, none, settings):
     assert rows(exact_dedup.exact_duplicates(none, **settings)) == []
 
 
-def test_without_duplicates_keeps_rows_as_they_were(docs, none):
-    kept = exact_dedup.without_duplicates(docs)
-    assert kept.columns == docs.columns
-    texts = [r["text"] or "" for r in rows(kept)]
-    assert sorted(texts) == sorted({t or "" for t in TEXTS})
-    assert rows(exact_dedup.without_duplicates(none)) == []
+@pytest.mark.parametrize("settings", [{}, {"key_bits": 2, "bucket_rows": 2}, {"bucket_rows": 2, "hot_rows": 1}])
+def test_without_duplicates_keeps_rows_as_they_were(docs, none, settings):
+    clash = ("_key", "_bucket", "_hot", "_owner", "_text", "_row", "_none", "_dedup_sha", "_stay_id", "key", "bucket", "a.b", "a`b")
+    more = docs.withColumns({c: F.concat(F.lit("mine "), F.coalesce(F.col("doc_id"), F.lit(-1))) for c in clash})
+    kept = exact_dedup.without_duplicates(more, **settings)
+    assert kept.columns == more.columns
+    found = rows(kept)
+    assert sorted(r["text"] or "" for r in found) == sorted({t or "" for t in TEXTS})
+    best = {}
+    for r in rows(docs):
+        best[r["text"] or ""] = max(best.get(r["text"] or "", -1), -1 if r["doc_id"] is None else r["doc_id"])
+    for r in found:
+        assert r["doc_id"] == best[r["text"] or ""] and {r[c] for c in clash} == {f"mine {r['doc_id']}"}
+        assert (r["text"] is None) == (r["doc_id"] == TEXTS.index(None))
+    assert rows(exact_dedup.without_duplicates(none, **settings)) == []
+
+
+def test_the_directory_decides_where_texts_are_found(spark, docs):
+    keys, index = exact_dedup.exact_index(docs, bucket_rows=2)
+    assert index.directory.buckets > 2
+    files = spark.read.parquet(index.path)
+    assert files.select("bucket").distinct().count() <= index.directory.buckets
+    assert index.looked_up(keys).count() == docs.count()
+    turned = index.directory.slots.withColumn("bucket", (F.col("bucket") + 1) % index.directory.buckets)
+    wrong = replace(index, directory=replace(index.directory, slots=turned))
+    assert wrong.looked_up(keys).count() == 0
+
+
+def test_hot_keys_are_bounded(spark):
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text"))
+    keys, index = exact_dedup.exact_index(many, bucket_rows=100, hot_rows=50)
+    assert index.directory.hot.count() == 1
+    found = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in rows(index.looked_up(keys))}
+    assert found == {i: (2997, 1000) if i % 3 == 0 else (i, 1) for i in range(3000)}
 
 
 def test_directory_doubles_and_splits_only_overfull_buckets():
