@@ -443,6 +443,46 @@ def test_nearest(spark, factor):
     assert rows(neighbours.nearest(df.limit(0), df.limit(0))) == []
 
 
+def test_nearest_with_products_that_differ_by_rounding_only(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=16)
+    data = [(i, rng.permutation(base).tolist()) for i in range(400)]
+    ones = [(1000 + 20 * i, [1.0] * 16) for i in range(2)]
+    df = spark.createDataFrame(data + ones, "vec_id long, embedding array<double>")
+    found = rows(neighbours.nearest(df, df.where("vec_id >= 1000 or vec_id % 100 = 0"), k=20, shard_rows=64))
+
+    def product(a, b):
+        total = 0.0
+        for x, y in zip(a, b):
+            total += x * y
+        return total
+
+    everything = dict(data + ones)
+    for query in [0, 100, 200, 300, 1000, 1020]:
+        own = sorted((-product(everything[query], v), i) for i, v in everything.items() if i != query)[:20]
+        got = sorted((r["rank"], r["vec_id"], r["score"]) for r in found if r["query_id"] == query)
+        assert got == [(n + 1, i, -s) for n, (s, i) in enumerate(own)]
+
+
+def test_trees_and_cells_prune_where_points_lie_in_groups():
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    points = np.repeat(centres, 100, 0) + rng.normal(0, 0.02, (4000, 16))
+    tree = neighbours.Tree.build(points, np.arange(4000))
+    asked = points[::20]
+    ids, products, looked = tree.search(asked, 10, 1.0)
+    plain = asked @ points.T
+    assert np.allclose(np.sort(plain, 1)[:, ::-1][:, :10], products)
+    assert looked < 0.4 * plain.size
+    relaxed, _, fewer = tree.search(asked, 10, 0.5)
+    assert fewer < looked
+    recall = np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids.tolist(), relaxed.tolist())])
+    assert recall >= 0.9
+    _, above, _ = tree.search(asked, 10, 1.0, products[:, 4])
+    assert np.array_equal(above[:, :5], products[:, :5])
+
+
 # licenses
 
 
