@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 _own_folder: list[str] = []
 
@@ -81,6 +82,15 @@ def all_of(columns: list[str]) -> list[Column]:
     return [F.col(quoted(c)) for c in columns]
 
 
+def appended(df: DataFrame, run, fields: list[StructField]) -> DataFrame:
+    """All columns of `df` and those that `run` puts behind them, batch by batch in Arrow; any names may stand in `df`."""
+    odd = [c for c in df.columns if not c.replace("_", "a").isalnum()]
+    plain = dict(zip(odd, free_names(df.columns, *(f"column{i}" for i in range(len(odd))))))
+    names = [plain.get(c, c) for c in df.columns]
+    schema = StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(names, df.schema.fields)] + fields)
+    return df.toDF(*names).mapInArrow(run, schema).toDF(*df.columns, *(f.name for f in fields))
+
+
 #: Bits of one row of a bitmap: what bitmap_construct_agg makes.
 _BITMAP_BITS = 32_768
 
