@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .shared import slices, stored, text_or_empty, texts_of
+from .shared import free_names, slices, stored, text_or_empty, texts_of
 
 END_ID = 1
 
@@ -162,11 +162,13 @@ def packed(pieces: DataFrame, capacity: Capacity = Capacity(), group_rows: int =
 
     Pieces are dealt by their place in the stored table, not by any key, to groups of about
     `group_rows`, and each group is packed by itself, so a task's memory and time are bounded
-    and each group loses about one sequence. No rows give no rows.
+    and each group loses about one sequence. No rows give no rows. Where `pieces` has columns sequence_id or offset, the new
+    ones get an underscore more (see `free_names`).
     """
-    rows = stored(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    row, sequence, place = free_names(pieces.columns, "_row", "sequence_id", "offset")
+    rows = stored(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-rows.count() // group_rows))
-    dealt = rows.select("_row", F.col("length").cast("long").alias("length")).withColumn(
+    dealt = rows.select(F.col(row).alias("_row"), F.col("length").cast("long").alias("length")).withColumn(
         "_group", F.pmod(F.xxhash64("_row"), F.lit(groups)).cast("long")
     )
 
@@ -176,14 +178,14 @@ def packed(pieces: DataFrame, capacity: Capacity = Capacity(), group_rows: int =
         group = table.column("_group")[0].as_py()
         return pa.table({"_row": table.column("_row"), "sequence_id": bins + (group << 32), "offset": offsets})
 
-    placed = dealt.groupBy("_group").applyInArrow(pack, "_row long, sequence_id long, offset long")
-    return rows.join(placed, "_row").drop("_row")
+    placed = dealt.groupBy("_group").applyInArrow(pack, "_row long, sequence_id long, offset long").toDF(row, sequence, place)
+    return rows.join(placed, row).drop(row)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
     """Whole sequences of packed pieces that still carry their ids: sequence_id, length, ids, doc_ids.
 
-    A sequence is at most its capacity, so the lists gathered here are bounded.
+    A sequence is at most its capacity, so the lists gathered here are bounded. No pieces give no rows; a null doc_id stays in its list as null.
     """
     parts = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "piece", "length", "ids")))
     whole = pieces.groupBy("sequence_id").agg(parts.alias("parts"))

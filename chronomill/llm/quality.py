@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField
 
-from .shared import hashed_sample, slices, text_or_empty, texts_of
+from .shared import appended, free_names, hashed_sample, slices, text_or_empty, texts_of
 
 WIDTH, STRIDE, DIM, FILTERS, HIDDEN = 8, 2, 4, 24, 16
 HALF = 256  # a chunk has two halves and overlaps each neighbour by one
@@ -196,15 +197,15 @@ def fit(labelled: DataFrame, train_rows: int = 5_000, **settings) -> Network:
 def scored(docs: DataFrame, net: Network) -> DataFrame:
     """All columns of `docs` and score: the network's probability of quality 1 for the whole text.
 
-    Null and empty texts are scored as one chunk of padding. A column named score is replaced.
+    Null and empty texts are scored as one chunk of padding. Where `docs` has a column named score, the new one gets an
+    underscore more (see `free_names`). A very long text costs time in proportion, and memory for a few bytes a character.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    kept = docs.drop("score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    (name,) = free_names(docs.columns, "score")
 
     def run(batches):
         for part in slices(batches, "text", 1_000_000):
             scores = shared.value.score(texts_of(part))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, name])
 
-    return kept.mapInArrow(run, f"{schema}, score double")
+    return appended(docs, run, [StructField(name, DoubleType())])
