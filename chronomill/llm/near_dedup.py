@@ -16,6 +16,8 @@ from .shared import all_of, flagged, free_names, narrowed, slices, stored, text_
 from .words import WordHashes, rolling, words_of
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
+#: Gram sets that can count as hot at most.
+MOST_HOT = 16_384
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = 5) -> tuple[int, int]:
@@ -147,7 +149,7 @@ def similar_documents(
 
 
 def _judged(
-    docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS, recall: float = RECALL, tile: int = 512, tile_grams: int = 8_000_000
+    docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS, recall: float = RECALL, tile: int = 512, tile_grams: int = 8_000_000, hot_rows: int = 1_000
 ) -> DataFrame:
     """The rows of `similar_documents` with their text_key and root (a node of the class; null without words).
 
@@ -185,7 +187,13 @@ def _judged(
         "copies",
         F.coalesce("links", F.lit(0)).alias("links"),
     )
-    found = sketch.select("doc_id", "text_key", "node").join(verdict, "node", "left")
+    verdict = stored(verdict, "verdicts")
+    # Fewer than MOST_HOT nodes can have over a MOST_HOTth of all rows; their verdicts go to the rows, not the rows to them.
+    many = max(hot_rows, (nodes.agg(F.sum("copies")).first()[0] or 0) // MOST_HOT)
+    hot = verdict.where(F.col("copies") > many)
+    own = sketch.select("doc_id", "text_key", "node")
+    rest = own.join(F.broadcast(hot.select("node")), "node", "left_anti").join(verdict.where(F.col("copies") <= many), "node", "left")
+    found = own.join(F.broadcast(hot), "node").unionByName(rest)
     class_id = F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     return found.select(
         "doc_id",
