@@ -1,6 +1,7 @@
 """Operators against brute-force versions, on small tables with awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -267,6 +268,57 @@ def test_markov_model_finds_secrets_joined_to_ordinary_words(spark):
     assert spans == {1: random_, 2: []}
 
 
+def plain_model_spans(text, ratios, threshold=0.8, stretch=16):
+    base = [(start, end) for _, start, end in brute_spans(text)]
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
+        run = m[0]
+        if not re.search("[A-Za-z]", run) or any(a < m.end() and m.start() < b for a, b in base):
+            continue
+        codes = [secrets.ALPHABET.index(c) + 1 for c in run]
+        pairs = [min(r, 0.0) if {a, b} & secrets._JOINTS else r for a, b in zip(codes, codes[1:]) for r in [ratios[a * 68 + b]]]
+        if max(sum(pairs[i : i + stretch - 1]) for i in range(len(pairs) - stretch + 2)) / (stretch - 1) > threshold:
+            out.append((m.start(), m.end()))
+    return out
+
+
+def test_model_spans_match_a_plain_model(spark):
+    rng = random.Random(12)
+    ratios = [round(rng.uniform(-1.5, 2.2), 5) for _ in range(68 * 68)]
+    pool = ["password=", "Token: ", "AKIA", "ABCDEF0123456789", "abcdef0123456789abcdef01", "x.y", "\n", " ", " ", "é", "🙂", "_", "/", "zX9kQ2mL7vB4nT8r", "service", "1683436113538828"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    texts += ["".join(rng.choice(secrets.ALPHABET) for _ in range(n)) for n in (4095, 4096, 4097, 4103, 4112, 9000)]
+    low = [-2.0] * 68 * 68
+    for a, b in zip("zX9kQ2mL7vB4nT8rW1yH", "X9kQ2mL7vB4nT8rW1yHz"):
+        low[(secrets.ALPHABET.index(a) + 1) * 68 + secrets.ALPHABET.index(b) + 1] = 2.0
+    long = ["a" * n + "zX9kQ2mL7vB4nT8rW1yH" + "b" * 5000 for n in (4076, 4081, 4090, 4095, 4096)] + ["a" * 8000]
+    for own, ratio in ((texts, ratios), (long, low)):
+        df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+        for r in rows(secrets.scanned(df, ratio)):
+            found = [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "markov"]
+            assert found == plain_model_spans(own[r["doc_id"]], ratio), own[r["doc_id"]][:200]
+
+
+def test_secrets_of_very_long_texts(spark):
+    units = ["é token=abcdefgh " * 100_000, "the and of that with " * 1_000_000]
+    df = spark.createDataFrame(list(enumerate(units)), "doc_id long, text string")
+    scans = secrets.scanned(df, [0.0] * 68 * 68)
+    found = {r["doc_id"]: r for r in rows(secrets.redacted(scans).selectExpr("doc_id", "size(spans) n", "get(spans, 99999) s", "length(text) c", "sha2(text, 256) h"))}
+    assert (found[0]["n"], found[0]["s"]["start"], found[0]["s"]["end"]) == (100_000, 99_999 * 17 + 2, 99_999 * 17 + 16)
+    assert found[0]["h"] == hashlib.sha256(("é [secret] " * 100_000).encode()).hexdigest()
+    assert (found[1]["n"], found[1]["c"]) == (0, len(units[1]))
+
+
+def test_columns_of_the_caller_are_never_replaced(spark, docs):
+    mine = docs.withColumns({c: F.lit("MINE") for c in ("score", "lang_pred", "spans", "base_spans", "Score_", "a.b", "a`b")})
+    model, net = language_id.fit(docs.limit(0)), quality.train([], np.empty(0))
+    made = {"lang_pred_": language_id.identified(mine, model), "score__": quality.scored(mine, net), "spans_": secrets.scanned(mine, [0.0] * 68 * 68)}
+    for name, df in made.items():
+        assert name in df.columns and df.columns[: len(mine.columns)] == mine.columns
+        for r in df.collect():
+            assert {r[c] for c in ("score", "lang_pred", "spans", "base_spans", "Score_", "a.b", "a`b")} == {"MINE"}
+
+
 def test_redaction_replaces_overlapping_spans_once(spark):
     text = "é token=deadbeefdeadbeefdeadbeef00 end"
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
@@ -289,9 +341,9 @@ def test_language(spark, docs, none):
     odd = {(r["doc_id"], r["text"]): r for r in rows(language_id.identified(docs, model))}
     assert len(odd) == len({(r["doc_id"], r["text"]) for r in rows(docs)})
     for (_, text), r in odd.items():
-        assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in text or ""))
+        assert (r["lang_pred_"] == "und") == (not any(c.isalpha() for c in text or ""))
     assert rows(language_id.identified(none, model)) == []
-    assert {r["lang_pred"] for r in rows(language_id.identified(docs, language_id.fit(none)))} == {"und"}
+    assert {r["lang_pred_"] for r in rows(language_id.identified(docs, language_id.fit(none)))} == {"und"}
 
 
 def test_rare_languages_are_learned_too(spark):
@@ -300,14 +352,66 @@ def test_rare_languages_are_learned_too(spark):
     assert model.labels == ["en", "fi"] and model.score(["hän oli että", "this and that"])[0] == ["fi", "en"]
 
 
-def test_grams_match_a_plain_count():
-    texts = ["Abc", "", "ünïç🙂"]
-    indptr, indices = language_id.hashed_grams(texts, 16, 3)
-    for i, t in enumerate(texts):
-        one = language_id.hashed_grams([t], 16, 3)[1]
-        assert sorted(indices[indptr[i] : indptr[i + 1]]) == sorted(one)
-        n = len(t) + 2
-        assert len(one) == n + n - 1 + n - 2
+def plain_grams(text, longest=3):
+    framed = f" {text.lower()} "
+    return [framed[i : i + n] for n in range(1, longest + 1) for i in range(len(framed) - n + 1)]
+
+
+def gram_bucket(gram, bits=16):
+    state = 0
+    for i, c in enumerate(gram):
+        state = ((state ^ ord(c)) * (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)[i % 4]) % 2**32
+        state ^= state >> 15
+    return (state * 0x2C1B3C6D % 2**32) >> (32 - bits)
+
+
+@pytest.mark.parametrize("block", [250_000, 7, 3])
+def test_grams_match_a_plain_count(block):
+    texts = ["Abc", "", "ünïç🙂", "a much longer text than the blocks of this test", "x"]
+    found = Counter()
+    for number, bucket in language_id.gram_blocks(texts, 16, 3, block):
+        assert (np.diff(number) >= 0).all()
+        found.update(zip(number.tolist(), bucket.tolist()))
+    assert found == Counter((i, gram_bucket(g)) for i, t in enumerate(texts) for g in plain_grams(t))
+
+
+def test_language_equals_a_plain_naive_bayes(spark):
+    words = {"en": "the and of that", "de": "der die und nicht", "fr": "les des une dans", None: "zu wa ki"}
+    rng = random.Random(9)
+    data = [(i, lang, " ".join(rng.choice(w.split()) for _ in range(rng.randint(0, 6)))) for i in range(60) for lang, w in words.items() if lang != "fr" or i < 20]
+    data += [(900, "en", None), (901, "de", "")]
+    df = spark.createDataFrame(data, "doc_id long, lang string, text string")
+    model = language_id.fit(df)
+    counts, documents = {}, Counter()
+    for _, lang, text in data:
+        if lang is not None:
+            documents[lang] += 1
+            counts.setdefault(lang, Counter()).update(map(gram_bucket, plain_grams(text or "")))
+    for r in rows(language_id.identified(df, model)):
+        text = r["text"] or ""
+        scores = {}
+        for lang, n in counts.items():
+            whole = sum(n.values()) + 0.5 * 2**16
+            scores[lang] = math.log(documents[lang] / sum(documents.values())) + sum(math.log((n[gram_bucket(g)] + 0.5) / whole) for g in plain_grams(text))
+        best = max(scores, key=scores.get)
+        if not any(c.isalpha() for c in text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+        else:
+            assert r["lang_pred"] == best
+            assert r["score"] == pytest.approx(1 / sum(math.exp(s - scores[best]) for s in scores.values()), rel=1e-3)
+
+
+def test_language_of_very_long_texts_needs_little_memory():
+    import tracemalloc
+
+    log_prob = np.zeros((1 << 16, 2), np.float32)
+    log_prob[gram_bucket("zq")] = [-1, 0]
+    model = language_id.Model(["a", "b"], np.log([0.5, 0.5]), log_prob, 16, 3)
+    text = "the and " * 1_000_000 + "zq"
+    tracemalloc.start()
+    assert model.score([text, "aa"])[0] == ["b", "a"]
+    assert tracemalloc.get_traced_memory()[1] < 200_000_000
+    tracemalloc.stop()
 
 
 # quality
@@ -322,9 +426,9 @@ def test_quality(spark, docs, none):
     held = rows(quality.scored(df.where("doc_id % 3 = 0"), net))
     assert np.mean([(r["score"] >= 0.3) == r["quality"] for r in held]) >= 0.95
     odd = rows(quality.scored(docs, net))
-    assert len(odd) == docs.count() and all(0 <= r["score"] <= 1 for r in odd)
+    assert len(odd) == docs.count() and all(0 <= r["score_"] <= 1 for r in odd)
     assert rows(quality.scored(none, net)) == []
-    assert 0 <= rows(quality.scored(docs, quality.fit(df.limit(0))))[0]["score"] <= 1
+    assert 0 <= rows(quality.scored(docs, quality.fit(df.limit(0))))[0]["score_"] <= 1
 
 
 def test_quality_score_covers_whole_documents():

@@ -56,12 +56,30 @@ def test_stages_on_no_rows(spark, docs):
         assert now.collect() == []
 
 
+CLASH = ("score", "lang_pred", "spans", "base_spans", "_dedup_sha", "_stay_id", "_drop_id", "_key", "_row", "node", "kept", "key", "root", "a.b")
+
+
 def test_stages_keep_further_columns(spark, docs):
     from pyspark.sql import functions as F
 
-    more = docs.withColumns({c: F.lit("x") for c in ("score", "lang_pred", "spans_", "node", "kept", "key")}).drop("lang_pred", "score")
+    more = docs.withColumns({c: F.concat(F.lit("mine "), F.coalesce(F.col("doc_id"), F.lit(-1))) for c in CLASH})
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert set(stage(spark, more, "").columns) == set(more.columns), name
+        found = stage(spark, more, "")
+        assert found.columns == more.columns, name
+        seen = found.collect()
+        assert seen
+        for r in seen:
+            assert {r[c] for c in CLASH} == {f"mine {-1 if r['doc_id'] is None else r['doc_id']}"}, name
+    assert corpus_pipeline.pack(spark, more, "").count()
+
+
+def test_near_duplicates_stage_goes_by_rows_not_ids(spark):
+    text = lambda n: " ".join(f"w{n}x{i}" for i in range(60))
+    data = [(1, text(0)), (None, text(0) + " tail"), (None, text(1)), (4, text(0) + " end"), (4, text(2))]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in data], SCHEMA)
+    found = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in found if r["doc_id"]) == [(1, text(0)), (4, text(2))]
+    assert [r["text"] for r in found if r["doc_id"] is None] == [text(1)]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
