@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import slices, text_or_empty
+from .shared import narrowed, slices, stored, text_or_empty
 from .words import WordHashes, rolling, words_of
 
 K = 3
@@ -49,6 +49,19 @@ def vote_rule(size: int, k: int = K, least: float = 0.8) -> tuple[int, int]:
     return min(width, size), min(2, max(1, left))
 
 
+#: The one gram of width 0 of every document.
+_END = -1
+
+
+def phrase_rows(phrases: dict[str, str]) -> list[tuple]:
+    """Like template_rows: a phrase is one gram as wide as itself, so that its one vote is all its words in a row."""
+    rows, hashes = [], WordHashes()
+    for phrase in phrases:
+        words = phrase.encode().split()
+        rows.append((int(rolling(hashes.of(words), len(words)).view(np.int64)[0]), phrase, 0, len(words), len(words), 1, 0))
+    return rows
+
+
 def template_rows(templates: dict[str, str], k: int = K, drift: int = 3, share: float | None = None, least: float = 0.8) -> list[tuple]:
     """(gram, template, position, template length in words, width, votes needed, drift) for every gram of every template."""
     hashes, rows = WordHashes(), []
@@ -68,7 +81,10 @@ def slack(size: int, drift: int, least: float) -> int:
 
 
 def word_grams(docs: DataFrame, widths: list[int]) -> DataFrame:
-    """doc_id, text_key, width and grams: the hashes of all rolling runs of that many words of the whole text, in order."""
+    """doc_id, text_key, width and grams: the hashes of all rolling runs of that many words of the whole text, in order.
+
+    Each document has one row more, of width 0, with the gram `_END` and n_words.
+    """
 
     def run(batches):
         hashes = WordHashes()
@@ -78,31 +94,40 @@ def word_grams(docs: DataFrame, widths: list[int]) -> DataFrame:
                 grams = [rolling(w, width).view(np.int64) for w in words]
                 ends = np.cumsum([0, *map(len, grams)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(grams) if grams else np.empty(0, np.int64)))
-                same = pa.array(np.full(len(words), width, np.int32))
-                columns = [part.column("doc_id"), part.column("text_key"), same, lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "width", "grams"])
+                same, none = pa.array(np.full(len(words), width, np.int32)), pa.nulls(len(words), pa.int64())
+                columns = [part.column("doc_id"), part.column("text_key"), same, lists, none]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "width", "grams", "n_words"])
+            ends = pa.array([[_END]] * len(words), pa.list_(pa.int64()))
+            counts = pa.array([len(w) for w in words], pa.int64())
+            columns = [part.column("doc_id"), part.column("text_key"), pa.array(np.zeros(len(words), np.int32)), ends, counts]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "width", "grams", "n_words"])
+
+    return docs.mapInArrow(run, "doc_id long, text_key long, width int, grams array<long>, n_words long")
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, width int, grams array<long>")
 
+def gram_hits(docs: DataFrame, rows: list[tuple]) -> DataFrame:
+    """doc_id, text_key, width, pos, n_words and a template's (template, place, size, need, slack) for each gram of a text that it holds.
+
+    Each document has one row more, of width 0 with n_words, whatever its text. `rows` are template_rows and phrase_rows: their
+    number is fixed by the templates given, so the table is broadcast, and no gram is shuffled that matches nothing.
+    """
+    fields = "gram long, template string, place int, size int, width int, need int, slack int"
+    table = docs.sparkSession.createDataFrame([*rows, (_END, None, 0, 0, 0, 0, 0)], fields)
+    grams = word_grams(docs, sorted({r[4] for r in rows})).select("doc_id", "text_key", "width", "n_words", F.posexplode("grams").alias("pos", "gram"))
+    return grams.join(F.broadcast(table), ["gram", "width"]).drop("gram")
 
-def voted_spans(
-    docs: DataFrame, templates: dict[str, str] = TEMPLATES, k: int = K, drift: int = 3, share: float | None = None, least: float = 0.8
-) -> DataFrame:
-    """Candidate spans (doc_id, text_key, template, first, last, votes, size) by diagonal voting.
 
-    Every gram of every document that a template holds votes for the diagonal document position -
+def voted_spans(hits: DataFrame) -> DataFrame:
+    """Candidate spans (doc_id, text_key, template, first, last, votes, size) by diagonal voting over `gram_hits`.
+
+    Every gram of a document that a template holds votes for the diagonal document position -
     template position. Diagonals that lie close (see `slack`) and belong to one template merge
     (words put in or left out shift the diagonal); the span is where their votes lie and where the
     whole template would lie from them. Voting only has to miss nothing that verification accepts:
     a span stays with one or two of the template's grams (see `vote_rule`), or with `share` of them if that is
-    given. The template table's size is fixed by the templates given, so it is broadcast and no
-    gram is shuffled that matches nothing.
+    given. A phrase's diagonals never merge: each of its places is a span.
     """
-    spark = docs.sparkSession
-    rows = template_rows(templates, k, drift, share, least)
-    table = spark.createDataFrame(rows, "gram long, template string, place int, size int, width int, need int, slack int")
-    grams = word_grams(docs, sorted({r[4] for r in rows})).select("doc_id", "text_key", "width", F.posexplode("grams").alias("pos", "gram"))
-    hits = grams.join(F.broadcast(table), ["gram", "width"]).withColumn("diagonal", F.col("pos") - F.col("place"))
+    hits = hits.where("width > 0").withColumn("diagonal", F.col("pos") - F.col("place"))
     whose = ["doc_id", "text_key", "template", "size", "need", "slack"]
     hits = hits.select(*whose, "width", "pos", "diagonal").distinct()  # rows that repeat a document vote once
     diagonals = hits.groupBy(*whose, "diagonal").agg(
@@ -153,32 +178,27 @@ def verified(words: list[bytes], voted: list[dict], wanted: dict[str, list[bytes
             start = end - _aligned(found[:end][::-1], wanted[name][::-1])[1]
             like = most / (len(wanted[name]) + end - start - most)
             kept.append((like, {"template": name, "first": first + start, "last": first + end - 1, "score": most / len(wanted[name])}))
-    best: list[tuple[float, dict]] = []
+    best: list[dict] = []
+    near: dict[int, list[tuple[float, dict]]] = {}  # the spans that stay, by stretches of words
     for like, s in sorted(kept, key=lambda x: (-x[0], x[1]["first"], x[1]["template"])):
+        stretches = range(s["first"] // 64, s["last"] // 64 + 1)
+
         def beaten(like_t, t):
             both = min(s["last"], t["last"]) - max(s["first"], t["first"]) + 1
-            near = 2 * both >= min(s["last"] - s["first"], t["last"] - t["first"]) + 1
-            return both > 0 and near and (like < like_t or s["template"] == t["template"])
+            close = 2 * both >= min(s["last"] - s["first"], t["last"] - t["first"]) + 1
+            return both > 0 and close and (like < like_t or s["template"] == t["template"])
 
-        if not any(beaten(*x) for x in best):
-            best.append((like, s))
-    return sorted((s for _, s in best), key=lambda s: (s["first"], s["template"]))
+        if not any(beaten(*x) for n in stretches for x in near.get(n, ())):
+            best.append(s)
+            for n in stretches:
+                near.setdefault(n, []).append((like, s))
+    return sorted(best, key=lambda s: (s["first"], s["template"]))
 
 
-def base_places(words: list[bytes], phrases: dict[str, str] = BASE) -> dict[str, list[int]]:
-    """Word positions where each phrase starts."""
-    out = {}
-    for phrase in phrases:
-        parts, places, at = phrase.encode().split(), [], -1
-        while True:
-            try:
-                at = words.index(parts[0], at + 1)
-            except ValueError:
-                break
-            if words[at : at + len(parts)] == parts:
-                places.append(at)
-        out[phrase] = places
-    return out
+def confirmed(words: list[bytes], voted: list[dict], phrases: dict[str, list[bytes]]) -> list[dict]:
+    """Places (label, pos) of voted spans of phrases whose words really stand there."""
+    found = sorted({(v["first"], v["template"]) for v in voted})
+    return [{"label": BASE[name], "pos": at} for at, name in found if words[at : at + len(phrases[name])] == phrases[name]]
 
 
 def licensed(docs: DataFrame, templates: dict[str, str] = TEMPLATES, k: int = K, drift: int = 3, share: float | None = None, least: float = 0.8) -> DataFrame:
@@ -186,38 +206,43 @@ def licensed(docs: DataFrame, templates: dict[str, str] = TEMPLATES, k: int = K,
 
     Voted spans are read again, word by word: a span stays if at least `least` of its template's
     words stand there in order; that share is its score. A span may begin before its first vote and
-    end after its last, by `drift` words or half of the template's. Null text counts as empty: no words, no spans.
-    Rows that repeat an id are scanned each by its own text. Other columns are not read.
+    end after its last, by `drift` words or half of the template's. Base phrases vote as templates of one gram, and their places stay
+    where all their words stand. Null text counts as empty: no words, no spans.
+    Rows that repeat an id are scanned each by its own text. Other columns are not read. Only documents with a voted
+    span are read a second time.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     read = read.withColumn("text_key", F.xxhash64("text"))
-    voted = voted_spans(read, templates, k, drift, share, least)
+    hits = stored(gram_hits(read, template_rows(templates, k, drift, share, least) + phrase_rows(BASE)), "license-hits")
     # At most one span a diagonal run: bounded by the document's own length.
-    listed = voted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("template", "first", "last")).alias("voted"))
-    joined = read.join(
-        listed.hint("shuffle_hash").select(F.col("doc_id").alias("v_id"), F.col("text_key").alias("v_key"), "voted"),
-        (F.col("text_key") == F.col("v_key")) & F.col("doc_id").eqNullSafe(F.col("v_id")),
-        "left",
-    ).select("doc_id", "text", "voted")
+    spans = voted_spans(hits).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("template", "first", "last")).alias("voted"))
+    listed = stored(spans.select(F.col("doc_id").alias("v_id"), F.col("text_key").alias("v_key"), "voted"), "license-spans")
+    whose = (F.col("text_key") == F.col("v_key")) & F.col("doc_id").eqNullSafe(F.col("v_id"))
+    texts = narrowed(read, "text_key", listed.select(F.col("v_key").alias("text_key"))).join(listed, whose).select("doc_id", "text_key", "text", "voted")
     wanted = {name: words_of(text) for name, text in templates.items()}
-    fields = "doc_id long, n_words long, base array<struct<label:string,pos:long>>, spans array<struct<template:string,first:long,last:long,score:double>>"
+    phrases = {phrase: phrase.encode().split() for phrase in BASE}
+    fields = "r_id long, r_key long, base array<struct<label:string,pos:long>>, spans array<struct<template:string,first:long,last:long,score:double>>"
     base_type = pa.list_(pa.struct([("label", pa.string()), ("pos", pa.int64())]))
     span_type = pa.list_(pa.struct([("template", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
 
     def run(batches):
         for part in slices(batches, "text"):
-            counts, bases, spans = [], [], []
+            bases, spans = [], []
             for text, voted in zip(part.column("text").to_pylist(), part.column("voted").to_pylist()):
                 words = words_of(text)
-                counts.append(len(words))
-                bases.append([{"label": BASE[p], "pos": i} for p, places in base_places(words).items() for i in places])
-                spans.append(verified(words, voted or [], wanted, drift, least))
+                bases.append(confirmed(words, [v for v in voted if v["template"] in phrases], phrases))
+                spans.append(verified(words, [v for v in voted if v["template"] in wanted], wanted, drift, least))
             yield pa.record_batch(
-                [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(bases, base_type), pa.array(spans, span_type)],
-                names=["doc_id", "n_words", "base", "spans"],
+                [part.column("doc_id"), part.column("text_key"), pa.array(bases, base_type), pa.array(spans, span_type)],
+                names=["r_id", "r_key", "base", "spans"],
             )
 
-    return joined.mapInArrow(run, fields)
+    # Rows that repeat a document were read each; one of them speaks for all.
+    found = texts.mapInArrow(run, fields).groupBy("r_id", "r_key").agg(F.first("base").alias("base"), F.first("spans").alias("spans"))
+    own = hits.where("width = 0").select("doc_id", "text_key", "n_words")
+    same = (F.col("text_key") == F.col("r_key")) & F.col("doc_id").eqNullSafe(F.col("r_id"))
+    none = lambda kind: F.array().cast(found.schema[kind].dataType)
+    return own.join(found, same, "left").select("doc_id", "n_words", *[F.coalesce(c, none(c)).alias(c) for c in ("base", "spans")])
 
 
 def license_digest(docs: DataFrame, **settings) -> DataFrame:
