@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .shared import all_of, free_names, new_path, quoted, stored, text_or_empty
+from .shared import all_of, free_names, gone_at_exit, new_path, quoted, stored, text_or_empty
 
 MAX_DEPTH = 16
 #: Keys that can count as hot at most, and the tasks over which the rows of one are spread.
@@ -159,6 +159,7 @@ def exact_index(
     entries.select("key", "chain", "text_sha256", "hot", "keep_id", "group_size", "bucket").write.partitionBy("bucket").option(
         "compression", "zstd"
     ).parquet(path)
+    gone_at_exit(docs.sparkSession, path)
     return keys, Index(directory, path)
 
 

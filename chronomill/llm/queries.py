@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, exact_dedup, language_id, licenses, near_dedup, neighbours, packing, quality, secrets, token_counts
-from .shared import crc_remainder, hashed_sample, new_path
+from .shared import crc_remainder, gone_at_exit, hashed_sample, new_path, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,22 +77,26 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A history of four commits over all documents, two of them sent twice.
 
-    All documents come under words-1; all are counted again under words-2; all of src0
-    leave words-1 (its deletion has reached that version only); and all other documents with a language
-    code other than en are revised in words-1 to the counts of words-2. A null source is not src0; a null
-    code is no code and is not revised, as in the SQL.
+    All documents come under byte_bpe_50k; all are counted again under word_bpe_49k; all of src0
+    leave byte_bpe_50k (its deletion has reached that version only); and all other documents with a language
+    code other than en are revised in byte_bpe_50k to the counts of word_bpe_49k. A null source is not src0; a null
+    code is no code and is not revised. Each text is counted once by each tokenizer, and the changes are made from those counts.
     """
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    first, second = (token_counts.counted(docs, t) for t in ("words-1", "words-2"))
+    import public_tokenizers
+
+    one, two = "byte_bpe_50k", "word_bpe_49k"
+    files = {one: (public_tokenizers.path(f"{one}.tiktoken"), public_tokenizers.PATTERN), two: (public_tokenizers.path(f"{two}.json"),)}
+    counts = stored(token_counts.counted(_table(spark, sf_dir, "documents"), files), "token-counts")
+    first, second = (counts.where(F.col("tokenizer") == t) for t in (one, two))
     rollup = token_counts.Rollup(spark, new_path(spark, "token-rollup"))
     others = "lang <> 'en' and not source <=> 'src0'"
-    revised = second.where(others).withColumn("tokenizer", F.lit("words-1"))
     for _ in range(2):
         rollup.commit("2024-01-load", token_counts.inserts(first))
         rollup.commit("2024-02-recount", token_counts.inserts(second))
     rollup.commit("2024-03-delete", token_counts.deletes(first.where("source = 'src0'")))
-    before = first.where(others)
-    rollup.commit("2024-04-revise", token_counts.revisions(before, revised))
+    revised = second.where(others).withColumn("tokenizer", F.lit(one))
+    rollup.commit("2024-04-revise", token_counts.revisions(first.where(others), revised))
+    gone_at_exit(spark, rollup.path)
     return rollup.totals()
 
 
@@ -121,17 +125,4 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
-    "op10_token_counts": r"""
-        WITH c AS (
-            SELECT source, lang,
-                   len(regexp_extract_all(coalesce(text, ''), '[^ \t\r\n]+')) AS n1,
-                   len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9 \t\r\n]')) AS n2
-            FROM documents
-        )
-        SELECT source, lang, 'words-1' AS tokenizer, count(*) AS docs,
-               sum(CASE WHEN lang <> 'en' THEN n2 ELSE n1 END)::BIGINT AS tokens
-        FROM c WHERE source IS DISTINCT FROM 'src0' GROUP BY ALL
-        UNION ALL
-        SELECT source, lang, 'words-2', count(*), sum(n2)::BIGINT FROM c GROUP BY ALL
-    """,
 }

@@ -42,6 +42,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    gone_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -53,9 +54,16 @@ def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     table = f"chronomill_{name}_{uuid.uuid4().hex}"
     df.write.bucketBy(buckets, key).format("parquet").option("path", path).saveAsTable(table)
+    gone_at_exit(df.sparkSession, path)
     return df.sparkSession.table(table)
 
 
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver delete `path`, which exists, when it ends: plans that read it may run until then."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a table of the shared folder through Spark's own file system layer."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,28 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import tiktoken
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import removed
+from .byte_bpe import PreTokenizer, read_ranks
+from .packing import WordBpe
+from .shared import removed, slices, text_or_empty, texts_of
 
 KEYS = ["source", "lang", "tokenizer"]
 _FIELDS = "source string, lang string, tokenizer string, docs long, tokens long"
 
-#: Tokenizer versions: what counts as one token.
-TOKENIZERS = {"words-1": r"[^ \t\r\n]+", "words-2": r"[A-Za-z0-9]+|[^A-Za-z0-9 \t\r\n]"}
+class ByteCounter:
+    """How many ids a text has by a file of ranks, each match of `pattern` being encoded by itself."""
 
+    LIMIT = 300_000
 
-def counted(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, source, lang, tokenizer, tokens of every text; null text has no tokens."""
-    tokens = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(TOKENIZERS[tokenizer]))
-    return docs.select(
-        "doc_id",
-        F.col("source").cast("string").alias("source"),
-        F.col("lang").cast("string").alias("lang"),
-        F.lit(tokenizer).alias("tokenizer"),
-        tokens.cast("long").alias("tokens"),
-    )
+    def __init__(self, path: str, pattern: str):
+        self.split = PreTokenizer(pattern).split
+        self.core = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=read_ranks(path), special_tokens={})
+        self.known: dict[str, int] = {}
+
+    def _new(self, word: str) -> int:
+        n = len(self.core.encode_ordinary(word))
+        if len(word) <= 64:
+            if len(self.known) >= self.LIMIT:
+                self.known.clear()
+            self.known[word] = n
+        return n
+
+    def __call__(self, text: str) -> int:
+        known = self.known
+        return sum(known[w] if w in known else self._new(w) for w in self.split(text))
+
+
+class WordCounter:
+    """How many ids a text has by a word-end vocabulary."""
+
+    def __init__(self, path: str):
+        self.bpe = WordBpe(path)
+
+    def __call__(self, text: str) -> int:
+        return len(self.bpe.encode(text)) // 4
+
+
+def counter(path: str, pattern: str | None = None):
+    """A function from texts to counts, by the kind of vocabulary file: ranks with a `pattern`, or a word-end vocabulary."""
+    return ByteCounter(path, pattern) if path.endswith(".tiktoken") else WordCounter(path)
+
+
+def counted(docs: DataFrame, tokenizers: dict[str, tuple]) -> DataFrame:
+    """doc_id, source, lang, tokenizer, tokens of every whole text by each of `tokenizers`, in one scan.
+
+    `tokenizers` has the arguments of `counter` by tokenizer version. Null text counts as empty, which has no tokens. Other
+    columns are not read; rows that repeat an id are counted each.
+    """
+    names = ["doc_id", "source", "lang"]
+    kind = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("tokenizer", pa.string()), ("tokens", pa.int64())])
+
+    def run(batches):
+        counters = {name: counter(*given) for name, given in tokenizers.items()}
+        for part in slices(batches, "text"):
+            texts = texts_of(part)
+            for name, count in counters.items():
+                own = [pa.array([name] * len(texts), pa.string()), pa.array(map(count, texts), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *own], schema=kind)
+
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in KEYS[:2]], text_or_empty().alias("text"))
+    return read.mapInArrow(run, "doc_id long, source string, lang string, tokenizer string, tokens long")
 
 
 def inserts(counts: DataFrame) -> DataFrame:
@@ -60,13 +107,13 @@ class Rollup:
         return self._exists(f"{self.path}/batch={batch}/_SUCCESS")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Apply `changes` (KEYS, tokens, sign); False if this batch id has been applied before."""
+        """Apply `changes` (KEYS, tokens, sign); False if this batch id has been applied before. A null count counts as no tokens."""
         if not batch.replace("-", "").replace("_", "").isalnum():
             raise ValueError(f"a batch id has letters, digits, - and _ only: {batch!r}")
         if self.committed(batch):
             return False
         signed = changes.groupBy(*KEYS).agg(
-            F.sum("sign").cast("long").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).cast("long").alias("tokens")
+            F.sum("sign").cast("long").alias("docs"), F.sum(F.col("sign") * F.coalesce("tokens", F.lit(0))).cast("long").alias("tokens")
         )
         changed = signed.where("docs <> 0 or tokens <> 0")
         # Additive and small: as many rows as keys. One file, so that a batch is one object.
