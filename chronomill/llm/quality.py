@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from .shared import appended, free_names, hashed_sample, slices, text_or_empty, texts_of
+from .shared import appended, free_names, hashed_sample, slices, stored, text_or_empty, texts_of
 
 WIDTH, STRIDE, DIM, FILTERS, HIDDEN = 8, 2, 4, 24, 16
 HALF = 256  # a chunk has two halves and overlaps each neighbour by one
@@ -96,35 +96,45 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.document_logits(texts) @ self.combine, -40, 40)))
 
 
-def train(texts: list[str], labels: np.ndarray, passes: int = 4, rate: float = 4e-3, batch: int = 128, seed: int = 7) -> Network:
-    """Adam on all chunks of all texts, each chunk with its document's label; then the combination of chunks.
+def chunks_of(texts: list[str], most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(chunks, the number of each one's text): bytes of all chunks, or of `most` a text, spread evenly over all of it."""
+    codes, halves = padded(texts)
+    first = np.cumsum(halves) - halves
+    picked = [np.arange(h - 1) if most is None or h - 1 <= most else np.linspace(0, h - 2, most).astype(np.int64) for h in halves]
+    number = np.repeat(np.arange(len(texts)), [len(p) for p in picked])
+    own = np.concatenate(picked) if picked else np.empty(0, np.int64)
+    rows = codes[((own + first[number]) * HALF)[:, None] + np.arange(2 * HALF + WIDTH)]
+    rows[own == (halves - 2)[number], 2 * HALF :] = PAD
+    return rows, number
 
-    Without both labels among the rows the result is a constant: the share of label 1, or 0.5.
+
+def train(texts: list[str], labels: np.ndarray, **settings) -> Network:
+    """A network for `texts`: trained on all their chunks, then on their document logits. See `train_chunks` and `combined`."""
+    labels = np.asarray(labels, np.float32)
+    chunks, number = chunks_of(texts)
+    counts = np.bincount(number, minlength=len(texts))
+    net = train_chunks(chunks, labels[number], 1.0 / counts[number] if len(texts) else np.empty(0), **settings)
+    return combined(net, net.document_logits(texts) if len(texts) else np.empty((0, 6)), labels)
+
+
+def train_chunks(chunks: np.ndarray, target: np.ndarray, share: np.ndarray, passes: int = 4, rate: float = 4e-3, batch: int = 128, seed: int = 7) -> Network:
+    """Adam on `chunks`, each with its document's label as `target` and as `share` one by the chunks of its document.
+
+    Without both labels the network stays as it starts; `combined` then makes the result a constant.
     """
     net = Network.start(seed)
-    labels = np.asarray(labels, np.float32)
-    if len(labels) == 0 or labels.min() == labels.max():
-        share = np.clip(labels.mean() if len(labels) else 0.5, 0.01, 0.99)
-        net.combine = np.array([0, 0, 0, np.log(share / (1 - share)), 0, 0])
+    if len(target) == 0 or target.min() == target.max():
         return net
-    codes, halves = padded(texts)
-    starts = np.concatenate([np.arange(h - 1) + s for h, s in zip(halves, np.cumsum(halves) - halves)]) * HALF
-    final = np.zeros(len(starts), bool)
-    final[np.cumsum(halves - 1) - 1] = True
-    target = np.repeat(labels, halves - 1)
-    weight = np.repeat(1.0 / (halves - 1), halves - 1).astype(np.float32)  # documents count alike
-    weight = np.minimum(weight * 8, 1.0)
+    weight = np.minimum(np.asarray(share, np.float32) * 8, 1.0)  # documents count alike
     names = ["embedding", "filters", "bias", "hidden", "hidden_bias", "out", "out_bias"]
     moments = {k: (np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))) for k in names}
     rng, step = np.random.default_rng(seed), 0
-    span = 2 * HALF + WIDTH
     for _ in range(passes):
-        order = rng.permutation(len(starts))
+        order = rng.permutation(len(chunks))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
             n = len(own)
-            bytes_ = codes[starts[own][:, None] + np.arange(span)]
-            bytes_[final[own], 2 * HALF :] = PAD
+            bytes_ = chunks[own]
             windows = windows_of(net.embedding[bytes_], 2 * _STEPS)
             responses = windows @ net.filters
             where = responses.argmax(1)
@@ -161,37 +171,72 @@ def train(texts: list[str], labels: np.ndarray, passes: int = 4, rate: float = 4
                 second += 0.001 * slope * slope
                 change = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
                 setattr(net, k, (getattr(net, k) - change).astype(np.float32))
-    x = net.document_logits(texts)
+    return net
+
+
+def combined(net: Network, x: np.ndarray, labels: np.ndarray) -> Network:
+    """`net` with the weights that a logistic regression gives the columns `x` of its document logits.
+
+    Without both labels among the rows the result is a constant: the share of label 1, or 0.5.
+    """
+    labels = np.asarray(labels, np.float64)
+    if len(labels) == 0 or labels.min() == labels.max():
+        share = np.clip(labels.mean() if len(labels) else 0.5, 0.01, 0.99)
+        return replace(net, combine=np.array([0, 0, 0, np.log(share / (1 - share)), 0, 0]))
     prior = w = np.array([1.0, 0, 0, 0, 0, 0])
-    for _ in range(30):  # damped Newton steps of a logistic regression
+    for _ in range(30):  # damped Newton steps
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
         h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(6)
         w = w - np.clip(np.linalg.solve(h, x.T @ (p - labels) + 1e-2 * (w - prior)), -1, 1)
-    net.combine = w
-    return net
+    return replace(net, combine=w)
 
 
-def fit(labelled: DataFrame, train_rows: int = 5_000, **settings) -> Network:
-    """Train on about `train_rows` rows (text, quality), twice as many at most, picked by a hash, in one executor task.
+def fit(labelled: DataFrame, train_rows: int = 5_000, train_chunks_a_text: int = 24, **settings) -> Network:
+    """Train on about `train_rows` rows (text, quality), twice as many at most, picked by a hash; rows without a label are left out.
 
-    Rows without a label are left out.
+    One executor task trains the filters, on `train_chunks_a_text` chunks of a text at most, spread over all of it: with the
+    defaults at most 240,000 chunks of about a kilobyte. The combination of chunks is learned from the logits of the sample's
+    whole texts, which executors compute; six numbers a text reach the driver.
     """
     import pickle
 
     rows = hashed_sample(labelled.where(F.col("quality").isNotNull()), train_rows)
     rows = rows.select(text_or_empty().alias("text"), F.col("quality").cast("int").alias("quality"))
+    rows = stored(rows.withColumn("key", F.xxhash64("text")).repartition(16), "quality-sample")
 
-    def run(batches):
-        texts, labels = [], []
+    def cut(batches):
+        for part in slices(batches, "text", 1_000_000):
+            chunks, number = chunks_of(texts_of(part), train_chunks_a_text)
+            counts = np.bincount(number, minlength=part.num_rows)
+            own = [part.column(c).take(pa.array(number)) for c in ("key", "quality")]
+            share = pa.array(1.0 / counts[number])
+            data = pa.array([c.tobytes() for c in chunks], pa.binary())
+            yield pa.RecordBatch.from_arrays([*own, share, data], names=["key", "quality", "share", "chunk"])
+
+    def learn(batches):
+        keys, labels, shares, chunks = [], [], [], []
         for batch in batches:
-            texts += texts_of(batch)
+            keys += batch.column("key").to_pylist()
             labels += batch.column("quality").to_pylist()
-        order = sorted(range(len(texts)), key=lambda i: (texts[i], labels[i]))  # not by arrival
-        net = train([texts[i] for i in order], np.array([labels[i] for i in order]), **settings)
+            shares += batch.column("share").to_pylist()
+            chunks += [np.frombuffer(c, np.int16) for c in batch.column("chunk").to_pylist()]
+        order = sorted(range(len(keys)), key=lambda i: (keys[i], labels[i], chunks[i].tobytes()))  # not by arrival
+        data = np.stack([chunks[i] for i in order]) if chunks else np.empty((0, 2 * HALF + WIDTH), np.int16)
+        net = train_chunks(data, np.array([labels[i] for i in order], np.float32), np.array([shares[i] for i in order]), **settings)
         yield pa.record_batch([pa.array([pickle.dumps(net)])], names=["net"])
 
-    found = rows.repartition(1).mapInArrow(run, "net binary").collect()
-    return pickle.loads(found[0]["net"]) if found else train([], np.empty(0))
+    pieces = rows.mapInArrow(cut, "key long, quality int, share double, chunk binary")
+    found = pieces.repartition(1).mapInArrow(learn, "net binary").collect()
+    net = pickle.loads(found[0]["net"]) if found else Network.start()
+    held = rows.sparkSession.sparkContext.broadcast(net)
+
+    def logits(batches):
+        for part in slices(batches, "text", 1_000_000):
+            x = held.value.document_logits(texts_of(part))
+            yield pa.RecordBatch.from_arrays([part.column("quality"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["quality", "x"])
+
+    seen = sorted((r["x"], r["quality"]) for r in rows.mapInArrow(logits, "quality int, x array<double>").collect())
+    return combined(net, np.array([x for x, _ in seen]).reshape(-1, 6), np.array([q for _, q in seen]))
 
 
 def scored(docs: DataFrame, net: Network) -> DataFrame:
