@@ -431,6 +431,41 @@ def test_quality(spark, docs, none):
     assert 0 <= rows(quality.scored(docs, quality.fit(df.limit(0))))[0]["score_"] <= 1
 
 
+def plain_probability(net, text):
+    """The network of one text, window by window."""
+    halves = max(2, -(-(len(text.encode()) + quality.WIDTH) // quality.HALF))
+    codes = list(text.encode()) + [quality.PAD] * (halves * quality.HALF - len(text.encode()) + quality.WIDTH)
+    logits = []
+    for chunk in range(halves - 1):
+        best = np.full(quality.FILTERS, -np.inf)
+        for half in (chunk, chunk + 1):
+            for at in range(half * quality.HALF, (half + 1) * quality.HALF, quality.STRIDE):
+                own = [c if half < halves - 1 or at + i < halves * quality.HALF else quality.PAD for i, c in enumerate(codes[at : at + quality.WIDTH])]
+                window = np.concatenate([net.embedding[c] for c in own])
+                best = np.maximum(best, [sum(window * net.filters[:, f]) for f in range(quality.FILTERS)])
+        hidden = [max(0.0, sum(np.maximum(best + net.bias, 0) * net.hidden[:, h]) + net.hidden_bias[h]) for h in range(quality.HIDDEN)]
+        logits.append(sum(h * o for h, o in zip(hidden, net.out)) + net.out_bias[0])
+    short = 1 - min(len(text.encode()), 2 * quality.HALF) / (2 * quality.HALF)
+    mean = sum(logits) / len(logits)
+    x = [mean, min(logits), max(logits), 1.0, short, short * mean]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, net.combine))))
+
+
+def test_quality_equals_a_plain_convolution():
+    net = quality.train([prose(40, i) for i in range(20)] + [prose(40, i).replace("a", "%") for i in range(20)], np.repeat([1, 0], 20), passes=3)
+    texts = ["", "a", prose(30, 7), "é🙂" * 90, prose(300, 8), "x" * 248, "x" * 249, "y" * 504, "y" * 505]
+    assert np.allclose(net.score(texts), [plain_probability(net, t) for t in texts], atol=1e-4)
+
+
+def test_training_chunks_are_bounded_and_spread():
+    text = "".join(chr(33 + i // 1000) for i in range(40_000))
+    rows_, number = quality.chunks_of([text, "short", ""], 10)
+    assert np.bincount(number).tolist() == [10, 1, 1] and rows_.shape[1] == 2 * quality.HALF + quality.WIDTH
+    assert rows_[0, 0] == 33 and rows_[9, 0] >= 33 + 39 - 1
+    everything, owner = quality.chunks_of([text, "short"])
+    assert len(everything) == -(-(40_000 + quality.WIDTH) // quality.HALF) - 1 + 1
+
+
 def test_quality_score_covers_whole_documents():
     net = quality.Network.start()
     net.combine = np.array([0.0, 1.0, 0, 0, 0, 0])  # the lowest chunk decides
@@ -515,6 +550,17 @@ def test_byte_bpe(spark, docs, none):
     assert rows(byte_bpe.round_trip_digest(none, RANKS, public_tokenizers.PATTERN)) == []
 
 
+def test_decoding_joins_the_token_table(spark):
+    ids = lambda *x: bytearray(np.array(x, "<u4").tobytes())
+    table = {rank: token for token, rank in byte_bpe.read_ranks(RANKS).items()}
+    data = [(1, ids(0, 50_255, 17), "mine"), (2, ids(), "mine"), (3, None, "mine"), (4, ids(300), "mine")]
+    df = spark.createDataFrame(data, "doc_id long, ids binary, decoded string")
+    found = {r["doc_id"]: (bytes(r["decoded_"]), r["decoded"]) for r in rows(byte_bpe.decoded(df, RANKS))}
+    assert found == {1: (table[0] + table[50_255] + table[17], "mine"), 2: (b"", "mine"), 3: (b"", "mine"), 4: (table[300], "mine")}
+    with pytest.raises(Exception, match="token-byte table"):
+        byte_bpe.decoded(spark.createDataFrame([(1, ids(60_000))], "doc_id long, ids binary"), RANKS).collect()
+
+
 # neighbours
 
 
