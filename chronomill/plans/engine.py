@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 import uuid
+import warnings
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +16,14 @@ from ..functions import aggregates as A
 from ..functions import tags as T
 from ..functions.granularity import Granularity, as_utc, coarser, from_seconds, level, to_seconds
 from ..operators import derive, ranges, rollup, values
-from ..sources.catalog import PROGRESS_FIELDS, Catalog, Source, Stream
-from ..sources.store import ROLLUP_FIELDS, Store
+from ..sources.catalog import HEAD_FIELDS, PROGRESS_FIELDS, STREAM_FIELDS, Catalog, Source, Stream
+from ..sources.store import ROLLUP_FIELDS, Contended, Store
 from .results import Datapoints
 
 DERIVE_OPERATORS = ("sum", "derivative", "counter_reset", "counter_derivative")
 RESULT_TYPES = {"sum": "numeric", "derivative": "numeric", "counter_reset": "nominal", "counter_derivative": "numeric"}
-_SEQ_ROOM = 1 << 40
+#: Attempts at a small change that another writer's commit has come before.
+_ATTEMPTS = 4
 
 
 class Engine:
@@ -28,15 +31,29 @@ class Engine:
 
     Derived streams are plans over their sources, not copies: a read of one is a read of its sources with the
     operator on top. `mode` is how rollups are read: "materialized" (closed buckets that downsample_streams has
-    written) or "on_read" (buckets made when read, the newest included).
+    written) or "on_read" (buckets made when read, the newest included). Points committed within the last `margin`
+    seconds hold a stream's rollups back; a rollup run of over `overrun` seconds warns.
+
+    Each operation that changes something is one commit of the store (a rollup one a level), so several engines may share a
+    folder: small changes that another writer's commit came before are made again, rollups and bulk appends raise.
     """
 
-    def __init__(self, spark: SparkSession, root: str, mode: str = "materialized"):
+    def __init__(self, spark: SparkSession, root: str, mode: str = "materialized", margin: float = 0.0, overrun: float = 120.0):
         if mode not in ("materialized", "on_read"):
             raise ValueError("mode is materialized or on_read")
-        self.spark, self.mode = spark, mode
+        self.spark, self.mode, self.margin, self.overrun = spark, mode, margin, overrun
         self.use(root)
 
+    @staticmethod
+    def _again(change):
+        """The result of `change`, made once more where another writer's commit came before its own."""
+        for attempt in range(_ATTEMPTS):
+            try:
+                return change()
+            except Contended:
+                if attempt == _ATTEMPTS - 1:
+                    raise
+
     def use(self, root: str) -> None:
         """Switch to another folder."""
         self.store = Store(self.spark, root)
@@ -75,11 +92,16 @@ class Engine:
             raise E.UnsupportedValueType(f"{kind!r} is none of {', '.join(values.TYPES)}")
         options = value_type_options if value_type_options is not None else ({"high_accuracy": False} if kind == "numeric" else {})
         inputs = tuple(self._source(s, granularity) for s in sources or ())
+        given = (query_tags, tags, list(value_downsamplers), granularity, derive_op, derive_args, kind, options, inputs, derive_backprocess)
+        return self._again(lambda: self._ensured(*given))
+
+    def _ensured(self, query_tags, tags, value_downsamplers, granularity, derive_op, derive_args, kind, options, inputs, derive_backprocess) -> str:
+        since = self.store.refresh().version
         found = self.catalog.find(query_tags)
         if len(found) > 1:
             raise E.MultipleStreamsReturned(f"{len(found)} streams match {query_tags}")
         if found:
-            return self._existing(found[0], query_tags, tags, kind, options, derive_op, inputs)
+            return self._existing(found[0], query_tags, tags, kind, options, derive_op, inputs, since)
         for name in value_downsamplers:
             if name not in A.VALUE_DOWNSAMPLERS or kind not in A.VALUE_DOWNSAMPLERS[name].types:
                 raise E.UnsupportedDownsampler(f"{name!r} is not defined for {kind} streams")
@@ -97,7 +119,7 @@ class Engine:
             str(uuid.uuid4()), self._next_ord(), {**(query_tags or {}), **(tags or {})}, kind, options, granularity.name,
             tuple(A.closure(value_downsamplers)) if value_downsamplers else (), bool(pending), from_seq, derive_op, derive_args or {}, inputs,
         )
-        self.catalog.put(stream)
+        self.catalog.put(stream, since=since)
         return stream.stream_id
 
     def _source(self, given, granularity: Granularity) -> Source:
@@ -106,14 +128,14 @@ class Engine:
         name = given.get("granularity", granularity)
         return Source(str(given["stream"]), given.get("name"), level(name).name)
 
-    def _existing(self, stream: Stream, query_tags, tags, kind, options, op, inputs) -> str:
+    def _existing(self, stream: Stream, query_tags, tags, kind, options, op, inputs, since: int) -> str:
         if kind != stream.value_type or options != stream.value_type_options:
             raise E.InconsistentStreamConfiguration("the value type of a stream cannot change")
         if op != stream.derive_op or {s.stream_id for s in inputs} != {s.stream_id for s in stream.derived_from}:
             raise E.InconsistentStreamConfiguration("what a stream is derived from cannot change")
         wanted = {**(query_tags or {}), **(tags or {})}
         if wanted != stream.tags:
-            self.catalog.put(replace(stream, tags=wanted))
+            self.catalog.put(replace(stream, tags=wanted), since=since)
         return stream.stream_id
 
     def _check_sources(self, op, inputs, known, granularity, kind, args) -> None:
@@ -145,64 +167,113 @@ class Engine:
         return (self.store.read("streams", "ord long").agg(F.max("ord")).first()[0] or 0) + 1
 
     def _next_seq(self) -> int:
-        """Where the next batch's sequence numbers begin: its place among the batches."""
-        return len(self.store.runs("points")) * _SEQ_ROOM
+        """Where the next batch's sequence numbers begin: behind all that were ever given, deleted streams' too."""
+        return self.store.refresh().next_seq
 
     def get_tags(self, stream_id: str) -> dict:
-        stream = self.catalog.get(stream_id)
-        head = self.catalog.heads().where(F.col("stream_id") == stream_id).first()
-        until = self.catalog.progress().where(F.col("stream_id") == stream_id).collect()
-        fed = [s.stream_id for s in self.catalog.find() if any(x.stream_id == stream_id for x in s.derived_from)]
-        out = {
-            **stream.tags,
-            "stream_id": stream_id,
-            "value_downsamplers": list(stream.value_downsamplers),
-            "time_downsamplers": list(A.TIME_STORED),
-            "highest_granularity": stream.highest_granularity,
-            "value_type": stream.value_type,
-            "value_type_options": stream.value_type_options,
-            "earliest_datapoint": head and as_utc(head["earliest"]) if head and head["earliest"] else None,
-            "latest_datapoint": head and as_utc(head["latest"]) if head and head["latest"] else None,
-            "pending_backprocess": stream.pending_backprocess,
-            "downsampled_until": {r["granularity"]: as_utc(r["until"]) for r in until},
-        }
-        if stream.derive_op:
-            out |= {"derived_from": [s.stream_id for s in stream.derived_from], "derive_op": stream.derive_op, "derive_args": stream.derive_args}
-        if fed:
-            out["contributes_to"] = fed
+        return self._described([self.catalog.get(stream_id)])[0]
+
+    def _described(self, streams: list[Stream]) -> list[dict]:
+        """Tags and state of streams: two jobs, however many they are."""
+        wanted = self.store.local([(s.stream_id,) for s in streams], "stream_id string")
+        heads = {r["stream_id"]: r for r in self.catalog.heads().join(wanted, "stream_id", "left_semi").collect()}
+        until: dict[str, dict] = {}
+        for r in self.catalog.progress().join(wanted, "stream_id", "left_semi").collect():
+            until.setdefault(r["stream_id"], {})[r["granularity"]] = as_utc(r["until"])
+        fed: dict[str, list] = {}
+        for s in self.catalog.find():
+            for x in s.derived_from:
+                fed.setdefault(x.stream_id, []).append(s.stream_id)
+        out = []
+        for stream in streams:
+            head = heads.get(stream.stream_id)
+            shown = {
+                **stream.tags,
+                "stream_id": stream.stream_id,
+                "value_downsamplers": list(stream.value_downsamplers),
+                "time_downsamplers": list(A.TIME_STORED),
+                "highest_granularity": stream.highest_granularity,
+                "value_type": stream.value_type,
+                "value_type_options": stream.value_type_options,
+                "earliest_datapoint": as_utc(head["earliest"]) if head and head["earliest"] else None,
+                "latest_datapoint": as_utc(head["latest"]) if head and head["latest"] else None,
+                "pending_backprocess": stream.pending_backprocess,
+                "downsampled_until": until.get(stream.stream_id, {}),
+            }
+            if stream.derive_op:
+                shown |= {"derived_from": [s.stream_id for s in stream.derived_from], "derive_op": stream.derive_op, "derive_args": stream.derive_args}
+            if stream.stream_id in fed:
+                shown["contributes_to"] = fed[stream.stream_id]
+            out.append(shown)
         return out
 
+    def _retagged(self, stream_id: str, change) -> None:
+        def put():
+            since = self.store.refresh().version
+            stream = self.catalog.get(stream_id)
+            self.catalog.put(replace(stream, tags=change(stream.tags)), since=since)
+
+        self._again(put)
+
     def update_tags(self, stream_id: str, tags: dict) -> None:
         T.check_tags(tags)
-        stream = self.catalog.get(stream_id)
-        self.catalog.put(replace(stream, tags=T.merged(stream.tags, tags)))
+        self._retagged(stream_id, lambda own: T.merged(own, tags))
 
     def remove_tag(self, stream_id: str, tag) -> None:
         T.check_tags(tag if isinstance(tag, dict) else {tag: 1})
-        stream = self.catalog.get(stream_id)
-        self.catalog.put(replace(stream, tags=T.without(stream.tags, tag)))
+        self._retagged(stream_id, lambda own: T.without(own, tag))
 
     def clear_tags(self, stream_id: str) -> None:
-        self.catalog.put(replace(self.catalog.get(stream_id), tags={}))
+        self._retagged(stream_id, lambda own: {})
 
     def find_streams(self, query_tags: dict | None = None, containment: bool = False) -> list[dict]:
         T.check_tags({k: v for k, v in (query_tags or {}).items() if k not in T.RESERVED}, reserved=False)
-        return [self.get_tags(s.stream_id) for s in self.catalog.find(query_tags, with_id=False, containment=containment)]
+        return self._described(self.catalog.find(query_tags, with_id=False, containment=containment))
 
     def delete_streams(self, query_tags: dict | None = None) -> None:
-        """Delete matching streams, or the whole store without a query; a stream that feeds one that stays cannot go."""
+        """Delete matching streams, or the whole store without a query; a stream that feeds one that stays cannot go.
+
+        One commit takes the streams out of the catalog, and their rows, which no id leads to any more, go with the next `compact`.
+        """
         if not query_tags:
             self.store.drop()
             return
-        going = self.catalog.find(query_tags)
-        ids = {s.stream_id for s in going}
-        if any(x.stream_id in ids for s in self.catalog.find() if s.stream_id not in ids for x in s.derived_from):
-            raise E.OutstandingDependenciesError("other streams are derived from these")
-        self.catalog.put(*[replace(s, deleted=True) for s in going])
-        gone = self.store.local([(i,) for i in ids], "stream_id string")
-        for table, df in [("points", self.store.points())] + [(f"rollups/{g.name}", self.store.rollups(g.name)) for g in coarser(level("seconds"))]:
-            if self.store.runs(table):
-                self.store.replace(table, df.join(F.broadcast(gone), "stream_id", "left_anti"), ["day"])
+
+        def delete():
+            since = self.store.refresh().version
+            going = self.catalog.find(query_tags)
+            ids = {s.stream_id for s in going}
+            if any(x.stream_id in ids for s in self.catalog.find() if s.stream_id not in ids for x in s.derived_from):
+                raise E.OutstandingDependenciesError("other streams are derived from these")
+            self.catalog.put(*[replace(s, deleted=True) for s in going], kind="delete", since=since)
+
+        self._again(delete)
+
+    def compact(self) -> None:
+        """Make each table one run, without the rows of deleted streams, in one commit; readers of the old runs go on until `Store.vacuum`."""
+        state = self.store.refresh()
+        since, old = state.version, {t: list(r) for t, r in state.runs.items() if r}
+        alive = self.catalog.table().select("stream_id")
+        tables = {
+            "heads": (HEAD_FIELDS, lambda df: df.groupBy("stream_id").agg(F.min("earliest").alias("earliest"), F.max("latest").alias("latest"), F.max("at").alias("at"))),
+            "progress": (PROGRESS_FIELDS, lambda df: df.groupBy("stream_id", "granularity").agg(F.max("until").alias("until"))),
+            "streams": (STREAM_FIELDS, lambda df: df.groupBy("stream_id").agg(F.max_by(F.struct(*df.columns), "version").alias("s")).select("s.*").where("not deleted")),
+        }
+        new: dict[str, list[str]] = {}
+        try:
+            for table, runs in old.items():
+                fields, combined = tables.get(table, (rollup.POINT_FIELDS if table == "points" else ROLLUP_FIELDS, None))
+                rows = self.store.scan(table, runs, fields, "" if combined else "day date").join(alive, "stream_id", "left_semi")
+                time_ = "ts" if table == "points" else "bucket"
+                if combined:
+                    new[table] = [self.store.stage(table, combined(rows).coalesce(1))]
+                else:
+                    dealt = rows.repartition(F.col("day"), F.pmod(F.xxhash64("stream_id", time_), F.lit(16)))
+                    new[table] = [self.store.stage(table, dealt.sortWithinPartitions("day", "stream_id", time_), ["day"])]
+            self.store.commit("compact", new, old, since=since)
+        except Contended as other:
+            self.store.discard(new)
+            raise E.LockExpiredMidMaintenance(str(other)) from other
 
     # appends
 
@@ -213,37 +284,75 @@ class Engine:
         return self._append(list(datapoints), True)
 
     def _append(self, given: list[dict], check: bool) -> list[dict]:
-        """Points of a Python list, in order: one table write for all of them."""
+        """Points of a Python list, in order: one commit for all of them."""
         if not given:
             return []
+        try:
+            return self._again(lambda: self._appended(given, check))
+        except Contended as other:
+            raise E.StreamAppendContended(str(other)) from other
+
+    def _appended(self, given: list[dict], check: bool) -> list[dict]:
+        state = self.store.refresh()
+        since, base = state.version, state.next_seq
         streams = {i: self.catalog.get(i) for i in {d["stream_id"] for d in given}}
+        feeds: dict[str, set] = {}
+        for s in self.catalog.find():
+            for x in s.derived_from:
+                feeds.setdefault(x.stream_id, set()).add(s.derive_op if x.name != "reset" else "reset")
         latest = {r["stream_id"]: to_seconds(r["latest"]) for r in self.catalog.heads().where(F.col("stream_id").isin(list(streams))).collect() if r["latest"]}
-        rows, shown, base = [], [], self._next_seq()
+        rows, shown, late = [], [], {}
         for i, point in enumerate(given):
             stream = streams[point["stream_id"]]
             if stream.derive_op:
                 raise E.AppendToDerivedStreamNotAllowed(f"stream {stream.stream_id} is derived")
             moment = as_utc(point.get("timestamp") or dt.datetime.now(dt.timezone.utc)).replace(microsecond=0)
-            second = to_seconds(moment)
+            second, before = to_seconds(moment), latest.get(stream.stream_id)
             if not 0 <= second <= 2**31 - 1:
                 raise E.InvalidTimestamp(f"{moment} cannot be stored")
-            if check and second < latest.get(stream.stream_id, second):
-                raise E.InvalidTimestamp(f"{moment} is before the stream's newest datapoint")
-            latest[stream.stream_id] = max(second, latest.get(stream.stream_id, second))
+            if before is not None and second < before:
+                if check:
+                    raise E.InvalidTimestamp(f"{moment} is before the stream's newest datapoint")
+                late[stream.stream_id] = min(second, late.get(stream.stream_id, second))
             kept = values.stored_value(point["value"], stream.value_type, stream.value_type_options, list(stream.value_downsamplers))
+            self._warn_of(kept, feeds.get(stream.stream_id, set()), second == before)
+            latest[stream.stream_id] = second if before is None else max(second, before)
             agg = kept["agg"]
             packed = None if agg is None else {k: agg.get(k) for k in ("c", "s", "q", "l", "u", "m", "d")}
             rows.append((stream.stream_id, moment, base + i, kept["value"], kept["value_json"], packed))
             shown.append({"stream_id": stream.stream_id, "datapoint": {"t": moment, "v": point["value"]}})
-        self._write(self.store.local(rows, rollup.POINT_FIELDS), self._spans(rows))
+        if late:
+            self._warn_of_late(late)
+        self._write(self.store.local(rows, rollup.POINT_FIELDS), base + len(rows), since, self._spans(rows))
         return shown
 
-    def append_frame(self, points: DataFrame, check_timestamp: bool = True) -> None:
-        """The bulk form: a point table with stream_id, ts and value (and value_json, agg) of any size.
+    @staticmethod
+    def _warn_of(kept: dict, feeds: set, again: bool) -> None:
+        """What derived streams will pass over: values that are no numbers, and a second value of one second where a rate is taken."""
+        if kept["value_json"] is not None and feeds:
+            try:
+                float(kept["value_json"].strip('"'))
+            except ValueError:
+                warnings.warn(E.InvalidValueWarning("derived streams pass over a value that is no number"), stacklevel=5)
+        if again and feeds & {"derivative", "counter_derivative"}:
+            warnings.warn(E.InvalidValueWarning("no rate is taken between two values of one second"), stacklevel=5)
+
+    def _warn_of_late(self, late: dict[str, int]) -> None:
+        reached = self.catalog.progress().where(F.col("stream_id").isin(list(late))).collect()
+        if any(late[r["stream_id"]] < to_seconds(r["until"]) for r in reached):
+            warnings.warn(E.DownsampleConsistencyNotGuaranteed("rollups that are already written lack this datapoint"), stacklevel=5)
+
+    def append_frame(self, points: DataFrame, check_timestamp: bool = True, batch: tuple[str, int] | None = None) -> bool:
+        """The bulk form: a point table with stream_id, ts and value (and value_json, agg, seq from 0) of any size.
 
         Checked by aggregates only: known plain streams, times in range, and, with `check_timestamp`, no
-        row before its stream's newest stored point.
+        row before its stream's newest stored point. `batch` names a sink and the number of its batch: one that has
+        been committed before, or an older one, is left out, and the result is False.
         """
+        state = self.store.refresh()
+        since, base = state.version, state.next_seq
+        if batch is not None and batch[1] <= state.batches.get(batch[0], -1):
+            return False
         names = set(points.columns)
         full = points.select(
             F.col("stream_id").cast("string").alias("stream_id"),
@@ -253,7 +362,10 @@ class Engine:
             (F.col("value_json") if "value_json" in names else F.lit(None)).cast("string").alias("value_json"),
             (F.col("agg") if "agg" in names else F.lit(None)).cast(rollup.AGG).alias("agg"),
         )
-        spans = full.groupBy("stream_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+        # Without numbers of their own, rows are numbered by partition and place; both bounds come with the checks.
+        part, place = (F.shiftrightunsigned("seq", 33), F.col("seq").bitwiseAND((1 << 33) - 1)) if "seq" not in names else (F.lit(0), F.col("seq"))
+        bounds = [F.max(part).alias("parts"), F.max(place).alias("places"), F.min("seq").alias("low")]
+        spans = full.groupBy("stream_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), *bounds)
         plain = self.catalog.table().select("stream_id", "derive_op")
         checked = spans.join(plain, "stream_id", "left").join(self.catalog.heads(), "stream_id", "left")
         unknown = plain.select("stream_id").withColumn("known", F.lit(True))
@@ -262,6 +374,9 @@ class Engine:
             F.max(F.col("derive_op").isNotNull()).alias("derived"),
             F.max((F.unix_seconds("lo") < 0) | (F.unix_seconds("hi") > 2**31 - 1)).alias("range"),
             F.max(F.col("lo") < F.col("latest")).alias("order"),
+            F.max("parts").alias("parts"),
+            F.max("places").alias("places"),
+            F.min("low").alias("low"),
         ).first()
         if wrong["unknown"]:
             raise E.StreamNotFound("the table names streams that do not exist")
@@ -271,7 +386,15 @@ class Engine:
             raise E.InvalidTimestamp("times out of range")
         if check_timestamp and wrong["order"]:
             raise E.InvalidTimestamp("times before a stream's newest datapoint")
-        self._write(full.withColumn("seq", F.col("seq") + F.lit(self._next_seq())))
+        if wrong["low"] is not None and wrong["low"] < 0:
+            raise ValueError("sequence numbers are not negative")
+        room = (wrong["places"] or 0) + 1
+        numbered = full.withColumn("seq", F.lit(base) + part.cast("long") * F.lit(room) + place)
+        try:
+            self._write(numbered, base + ((wrong["parts"] or 0) + 1) * room, since, batch=batch)
+        except Contended as other:
+            raise E.StreamAppendContended(str(other)) from other
+        return True
 
     def _spans(self, rows: list[tuple]) -> DataFrame:
         """Earliest and latest time of each stream of a batch, and of those derived from them."""
@@ -287,20 +410,30 @@ class Engine:
                 if own and s.stream_id not in spans:
                     spans[s.stream_id] = (min(x[0] for x in own), max(x[1] for x in own))
                     grown = True
-        return self.store.local([(k, *v) for k, v in spans.items()], "stream_id string, earliest timestamp, latest timestamp")
-
-    def _write(self, points: DataFrame, spans: DataFrame | None = None) -> None:
-        """Rows of a day and stream stand together, so a scan of a stream skips the row groups of others."""
-        dealt = points.withColumn("day", F.to_date("ts"))
-        if spans is not None:  # a list of the driver's: one sorted task
-            self.store.write("points", dealt.coalesce(1).sortWithinPartitions("day", "stream_id", "ts", "seq"), ["day"])
-            self.store.write("heads", spans.coalesce(1))
-            return
-        spread = dealt.repartition(F.col("day"), F.pmod(F.xxhash64("stream_id", "ts"), F.lit(16))).sortWithinPartitions("day", "stream_id", "ts", "seq")
-        path = self.store.write("points", spread, ["day"])
-        written = self.spark.read.schema(rollup.POINT_FIELDS).parquet(path)
-        heads = written.groupBy("stream_id").agg(F.min("ts").alias("earliest"), F.max("ts").alias("latest"))
-        self.store.write("heads", self._with_derived_heads(heads))
+        return self.store.local([(k, *v, time.time()) for k, v in spans.items()], HEAD_FIELDS)
+
+    def _write(self, points: DataFrame, next_seq: int, since: int, spans: DataFrame | None = None, batch: tuple[str, int] | None = None) -> None:
+        """Points and the times that they reach, in one commit. Rows of a day and stream stand together, so a scan of a
+        stream skips the row groups of others."""
+        dealt, new = points.withColumn("day", F.to_date("ts")), {}
+        try:
+            if spans is not None:  # a list of the driver's: one sorted task
+                new["points"] = [self.store.stage("points", dealt.coalesce(1).sortWithinPartitions("day", "stream_id", "ts", "seq"), ["day"])]
+                new["heads"] = [self.store.stage("heads", spans.coalesce(1))]
+            else:
+                spread = dealt.repartition(F.col("day"), F.pmod(F.xxhash64("stream_id", "ts"), F.lit(16))).sortWithinPartitions("day", "stream_id", "ts", "seq")
+                new["points"] = [self.store.stage("points", spread, ["day"])]
+                written = self.store.scan("points", new["points"], rollup.POINT_FIELDS, "day date")
+                heads = written.groupBy("stream_id").agg(F.min("ts").alias("earliest"), F.max("ts").alias("latest"))
+                new["heads"] = [self.store.stage("heads", self._with_derived_heads(heads))]
+        except Exception as wrong:
+            self.store.discard(new)
+            raise E.StreamAppendFailed("the batch could not be written; nothing of it counts") from wrong
+        try:
+            self.store.commit("append", new, next_seq=next_seq, since=since, batch=None if batch is None else dict([batch]))
+        except Contended:
+            self.store.discard(new)
+            raise
 
     def _with_derived_heads(self, heads: DataFrame) -> DataFrame:
         """Derived streams are as new as their sources, also where the operator had nothing to say."""
@@ -309,12 +442,13 @@ class Engine:
         out, now = heads, heads
         for _ in range(len(streams) if edges else 0):
             links = self.store.local(edges, "dst string, src string")
-            now = now.join(F.broadcast(links), F.col("stream_id") == F.col("src")).groupBy("dst").agg(F.min("earliest").alias("earliest"), F.max("latest").alias("latest"))
+            now = now.join(links, F.col("stream_id") == F.col("src")).groupBy("dst").agg(F.min("earliest").alias("earliest"), F.max("latest").alias("latest"))
             now = now.withColumnRenamed("dst", "stream_id")
             if not now.limit(1).count():
                 break
             out = out.unionByName(now)
-        return out.groupBy("stream_id").agg(F.min("earliest").alias("earliest"), F.max("latest").alias("latest"))
+        out = out.groupBy("stream_id").agg(F.min("earliest").alias("earliest"), F.max("latest").alias("latest"))
+        return out.withColumn("at", F.lit(time.time()))
 
     # derived streams
 
@@ -352,35 +486,43 @@ class Engine:
 
     def backprocess_streams(self, query_tags: dict | None = None) -> None:
         """Let pending derived streams see the data that their sources had before them."""
-        todo = [s for s in self.catalog.find(query_tags) if s.pending_backprocess]
-        done: dict[str, Stream] = {}
-        while todo:
-            s = todo.pop()
-            if s.stream_id not in done:
-                done[s.stream_id] = replace(s, pending_backprocess=False)
-                todo += [x for x in map(self.catalog.get, (y.stream_id for y in s.derived_from)) if x.pending_backprocess]
-        self.catalog.put(*done.values())
-        if done:
-            heads = self.catalog.heads()
-            self.store.write("heads", self._with_derived_heads(heads))
+
+        def settle():
+            since = self.store.refresh().version
+            todo = [s for s in self.catalog.find(query_tags) if s.pending_backprocess]
+            done: dict[str, Stream] = {}
+            while todo:
+                s = todo.pop()
+                if s.stream_id not in done:
+                    done[s.stream_id] = replace(s, pending_backprocess=False)
+                    todo += [x for x in map(self.catalog.get, (y.stream_id for y in s.derived_from)) if x.pending_backprocess]
+            if done:
+                self.store.write("heads", self._with_derived_heads(self.catalog.heads()), kind="append")
+                self.catalog.put(*done.values(), since=since)
+
+        self._again(settle)
 
     # rollups
 
     def downsample_streams(self, query_tags: dict | None = None, until: dt.datetime | None = None, return_datapoints: bool = False, filter_stream=None) -> list[dict]:
         """Roll up all buckets that have closed since the last run, level by level, for all streams in one job a level.
 
-        On the on_read path there is nothing to do.
+        A level's rows and how far they reach are one commit: a run that dies is taken up where it was, and no bucket is
+        written twice; of two runs at once the slower one raises. On the on_read path there is nothing to do.
         """
         if self.mode == "on_read":
             return []
-        streams = [s for s in self.catalog.find(query_tags) if s.value_downsamplers and (filter_stream is None or filter_stream(self.get_tags(s.stream_id)))]
+        began, since = time.time(), self.store.refresh().version
+        streams = [s for s in self.catalog.find(query_tags) if s.value_downsamplers]
+        if filter_stream is not None:
+            streams = [s for s, shown in zip(streams, self._described(streams)) if filter_stream(shown)]
         if not streams:
             return []
         made = []
         limit = 2**31 - 1 if until is None else to_seconds(as_utc(until))
         # The streams are on the driver already; so are their bounds, one number each.
         wanted = {s.stream_id for s in streams}
-        heads = self.catalog.heads().select("stream_id", F.unix_seconds("earliest").alias("low"), F.unix_seconds("latest").alias("at")).collect()
+        heads = self.catalog.settled(self.margin, began).collect()
         ends = {r["stream_id"]: r["at"] for r in heads if r["stream_id"] in wanted and r["at"] is not None}
         begins = {r["stream_id"]: r["low"] for r in heads}
         done = {(r["stream_id"], r["granularity"]): as_utc(r["until"]) for r in self.catalog.progress().collect()}
@@ -397,29 +539,41 @@ class Engine:
             if not rows:
                 self._next_level(streams, g, ends, done)
                 continue
-            bounds = self.store.local(rows, "stream_id string, lo timestamp, hi timestamp")
-            parts = [rollup.first_level(self._within(self.points(s), bounds, "ts"), g) for s in firsts if s.derive_op]
-            plain = [s.stream_id for s in firsts if not s.derive_op]
+            # The bounds also say which streams a scan is of, however many they are.
+            bounds = lambda ids: self.store.local([r for r in rows if r[0] in ids], "stream_id string, lo timestamp, hi timestamp")
+            parts = [rollup.first_level(self._within(self.points(s), bounds({s.stream_id}), "ts"), g) for s in firsts if s.derive_op]
+            plain = {s.stream_id for s in firsts if not s.derive_op}
             if plain:
-                parts.append(rollup.first_level(self._within(self.store.points().where(F.col("stream_id").isin(plain)), bounds, "ts"), g))
+                parts.append(rollup.first_level(self._within(self.store.points(), bounds(plain), "ts"), g))
             if merges:
                 finer = max((x for x in coarser(level("seconds")) if x > g), key=lambda x: x.seconds) if g != finest else None
-                parts.append(rollup.merge_level(self._within(self.store.rollups(finer.name).where(F.col("stream_id").isin(merges)), bounds, "bucket"), g))
-            rows = parts[0]
+                parts.append(rollup.merge_level(self._within(self.store.rollups(finer.name), bounds(set(merges)), "bucket"), g))
+            made_rows = parts[0]
             for p in parts[1:]:
-                rows = rows.unionByName(p)
-            filled = rollup.gap_filled(rows, g, bounds).withColumn("day", F.to_date("bucket"))
-            path = self.store.write(f"rollups/{g.name}", filled.sortWithinPartitions("day", "stream_id", "bucket"), ["day"])
-            written = self.spark.read.schema(ROLLUP_FIELDS).parquet(path)
+                made_rows = made_rows.unionByName(p)
+            table = f"rollups/{g.name}"
+            filled = rollup.gap_filled(made_rows, g, bounds(wanted)).withColumn("day", F.to_date("bucket"))
+            new = {table: [self.store.stage(table, filled.sortWithinPartitions("day", "stream_id", "bucket"), ["day"])]}
+            written = self.store.scan(table, new[table], ROLLUP_FIELDS, "day date")
             reached = [r["stream_id"] for r in written.select("stream_id").distinct().collect()]
             if reached:
-                self.store.write("progress", self.store.local([(k, g.name, his[k]) for k in reached], PROGRESS_FIELDS).coalesce(1))
+                new["progress"] = [self.store.stage("progress", self.store.local([(k, g.name, his[k]) for k in reached], PROGRESS_FIELDS).coalesce(1))]
+                try:
+                    self.store.commit("rollup", new, since=since)
+                except Contended as other:
+                    self.store.discard(new)
+                    raise E.LockExpiredMidMaintenance(str(other)) from other
+                since = self.store.state.version
                 done |= {(k, g.name): his[k] for k in reached}
-            if return_datapoints:
+            else:
+                self.store.discard(new)
+            if return_datapoints and reached:
                 kinds = {s.stream_id: s for s in streams}
                 for r in written.orderBy("stream_id", "bucket").toLocalIterator():
                     made.append({"stream_id": r["stream_id"], "granularity": g.name, "datapoint": self._shown_rollup(r, kinds[r["stream_id"]])})
             self._next_level(streams, g, ends, done)
+        if time.time() - began > self.overrun:
+            warnings.warn(E.DownsampleConsistencyNotGuaranteed(f"the run took over {self.overrun:g} seconds"), stacklevel=2)
         return made
 
     @staticmethod
@@ -438,7 +592,7 @@ class Engine:
 
     @staticmethod
     def _within(df: DataFrame, bounds: DataFrame, time: str) -> DataFrame:
-        at = df.join(F.broadcast(bounds), "stream_id")  # one row a stream of the catalog
+        at = df.join(bounds, "stream_id")  # one row a stream
         return at.where((F.col(time) < F.col("hi")) & (F.col("lo").isNull() | (F.col(time) >= F.col("lo")))).drop("lo", "hi")
 
     # reads
@@ -487,5 +641,8 @@ class Engine:
             out["t"] = {k: as_utc(v) for k, v in row["t"].asDict().items()}
         if "v" in fields:
             own = {A.VALUE_KEYS[n] for n in stream.value_downsamplers}
+            v = row["v"].asDict()
+            if v.get("c") and v.get("s") is not None and v.get("q") is not None and v["q"] / v["c"] - (v["s"] / v["c"]) ** 2 < -A.DEAD_BAND * max(1.0, v["q"] / v["c"]):
+                warnings.warn(E.InternalInconsistencyWarning("a bucket's squares are too small for its sum"), stacklevel=2)
             out["v"] = {k: v for k, v in row["v"].asDict().items() if k in own}
         return out

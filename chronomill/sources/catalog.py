@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from ..errors import MultipleStreamsReturned, StreamNotFound
 from ..functions.tags import contains, matches
-from .store import Store
+from .store import Contended, Store
 
 STREAM_FIELDS = (
     "stream_id string, ord long, tags string, value_type string, value_type_options string, highest_granularity string, "
     "value_downsamplers array<string>, pending_backprocess boolean, from_seq long, derive_op string, derive_args string, "
     "derived_from string, deleted boolean, version long"
 )
-HEAD_FIELDS = "stream_id string, earliest timestamp, latest timestamp"
+#: `at`: when the batch was committed, in seconds.
+HEAD_FIELDS = "stream_id string, earliest timestamp, latest timestamp, at double"
 PROGRESS_FIELDS = "stream_id string, granularity string, until timestamp"
 
 
@@ -87,10 +88,17 @@ class Catalog:
         latest = rows.groupBy("stream_id").agg(F.max_by(F.struct(*rows.columns), "version").alias("s"))
         return latest.select("s.*").where("not deleted")
 
-    def put(self, *streams: Stream) -> None:
+    def put(self, *streams: Stream, kind: str = "catalog", since: int | None = None) -> None:
+        """New versions of streams, in one commit; `since` is the version of the store that they were made from."""
         changed = [replace(s, version=s.version + 1).row() for s in streams]
         if changed:
-            self.store.write("streams", self.store.local(changed, STREAM_FIELDS).coalesce(1))
+            seen = self.store.refresh().version if since is None else since
+            run = self.store.stage("streams", self.store.local(changed, STREAM_FIELDS).coalesce(1))
+            try:
+                self.store.commit(kind, {"streams": [run]}, since=seen)
+            except Contended:
+                self.store.discard({"streams": [run]})
+                raise
 
     def latest(self) -> list[Stream] | None:
         """All streams, if they are held on the driver."""
@@ -134,5 +142,11 @@ class Catalog:
         """stream_id, earliest, latest: additive rows, so no version is needed."""
         return self.store.read("heads", HEAD_FIELDS).groupBy("stream_id").agg(F.min("earliest").alias("earliest"), F.max("latest").alias("latest"))
 
+    def settled(self, margin: float, now: float) -> DataFrame:
+        """stream_id, low, at: the seconds of each stream's first point, and up to which no point has come within the last `margin` seconds."""
+        fresh = F.min(F.when(F.col("at") > F.lit(now - margin), F.unix_seconds("earliest")))
+        rows = self.store.read("heads", HEAD_FIELDS).groupBy("stream_id")
+        return rows.agg(F.unix_seconds(F.min("earliest")).alias("low"), F.least(F.unix_seconds(F.max("latest")), fresh).alias("at"))
+
     def progress(self) -> DataFrame:
         return self.store.read("progress", PROGRESS_FIELDS).groupBy("stream_id", "granularity").agg(F.max("until").alias("until"))

@@ -45,16 +45,20 @@ def into_table(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def monotonic_sink(engine, path_rejected: str):
+def monotonic_sink(engine, path_rejected: str, name: str = "sink"):
     """A foreachBatch function: rows in order are appended to the engine, those before a stream's newest
-    stored point go to a table of rejects."""
+    stored point go to a table of rejects, by batch.
+
+    A batch that comes again, as after a restart, changes nothing: the store knows the last number of the sink `name`, and the
+    rejects of a batch that has not been committed are written anew.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
+        if engine.store.refresh().batches.get(name, -1) >= number:
+            return
         heads = engine.catalog.heads().select("stream_id", "latest")
         judged = batch.join(heads, "stream_id", "left").withColumn("late", F.coalesce(F.col("ts") < F.col("latest"), F.lit(False)))
-        judged.where("late").drop("late", "latest").write.mode("append").parquet(path_rejected)
-        good = judged.where("not late").drop("late", "latest")
-        if good.limit(1).count():
-            engine.append_frame(good)
+        judged.where("late").drop("late", "latest").write.mode("overwrite").parquet(f"{path_rejected}/batch={number}")
+        engine.append_frame(judged.where("not late").drop("late", "latest"), batch=(name, number))
 
     return write
