@@ -72,7 +72,8 @@ class Directory:
         """Made from the column `key` of all rows."""
         spark = keys.sparkSession
         counts = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "dedup-counts")
-        filled = counts.groupBy(_slot(F.col("key"), MAX_DEPTH).alias("slot")).agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("rows"))
+        dealt = F.when(F.col("n") > hot_rows, 1).otherwise(F.col("n"))  # rows of a hot key are combined before
+        filled = counts.groupBy(_slot(F.col("key"), MAX_DEPTH).alias("slot")).agg(F.sum(dealt).alias("n"), F.sum("n").alias("rows"))
         found = filled.collect()  # at most 2**MAX_DEPTH rows, whatever the input
         depth, split = split_directory({r["slot"]: r["n"] for r in found}, bucket_rows)
         if depth == 0:
@@ -130,7 +131,7 @@ def _keys(docs: DataFrame, text_col: str, key_bits: int) -> Column:
 
 
 def exact_index(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 8_192, key_bits: int = 64, hot_rows: int = 4_096
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 8_192, key_bits: int = 64, hot_rows: int = 1_000
 ) -> tuple[DataFrame, Index]:
     """The keys of all rows (doc_id, key, text_sha256), and the index of all distinct texts.
 
@@ -176,7 +177,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def without_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 8_192, key_bits: int = 64, hot_rows: int = 4_096
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 8_192, key_bits: int = 64, hot_rows: int = 1_000
 ) -> DataFrame:
     """`docs` with one row for each distinct text, that with the largest id; all columns as they were, whatever their names.
 
