@@ -8,8 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.granularity import Granularity, level
 
 
-def _ordered(*partition: str):
-    return Window.partitionBy(*partition).orderBy("ts", "ord", "seq")
+def with_previous(rows: DataFrame, fields: list[str], order: list[str]) -> DataFrame:
+    """`rows` and prev: a struct of `fields` of the row before, by `order` (ts first) within a stream; null for its first row.
+
+    Rows are dealt by stream and day, so a hot stream is spread over as many tasks as it has days; from one day to the next
+    goes only the last row of each, which is as many rows a stream as there are days.
+    """
+    own = F.struct(*fields)
+    dealt = rows.withColumn("_day", F.floor(F.unix_seconds("ts") / 86_400))
+    day = Window.partitionBy("stream_id", "_day").orderBy(*order)
+    seen = dealt.withColumns({"prev": F.lag(own).over(day), "_last": F.lead(F.lit(True)).over(day).isNull()})
+    lasts = seen.where("_last").select("stream_id", "_day", own.alias("_own"))
+    carried = lasts.select("stream_id", "_day", F.lag("_own").over(Window.partitionBy("stream_id").orderBy("_day")).alias("_carried"))
+    return seen.join(carried, ["stream_id", "_day"]).withColumn("prev", F.coalesce("prev", "_carried")).drop("_day", "_last", "_carried")
 
 
 def tagged(sources: list[DataFrame], dst: str | None = None) -> DataFrame:
@@ -25,31 +36,32 @@ def tagged(sources: list[DataFrame], dst: str | None = None) -> DataFrame:
 
 
 def aligned_sum(rows: DataFrame, sources: int, g: str | Granularity) -> DataFrame:
-    """Sum of all sources on equal floored times, where every source has a row.
+    """Sum of all sources on equal floored times: in each bucket, in order, the last value of each source counts, and every time
+    all are there a row comes out and the values are forgotten. Nulls are left out of a sum and make it null if all are.
 
-    rows: stream_id (of the target), ts, seq, value, ord. Nulls are left out of a sum and make it null if all are.
-    The fast form: one row a source and bucket, so a partial aggregation decides; buckets with more rows
-    of a source are folded in order, where a complete set of sources gives a row and starts anew.
-    """
-    g = level(g)
-    at = rows.withColumn("ts", g.floor_column(F.col("ts")))
-    per = at.groupBy("stream_id", "ts").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("ord").alias("k"), F.sum("value").alias("value"), F.max("seq").alias("seq")
-    )
-    plain = per.where((F.col("k") == sources) & (F.col("n") == sources)).select("stream_id", "ts", "seq", "value")
-    return plain
-
-
-def aligned_sum_folded(rows: DataFrame, sources: int, g: str | Granularity) -> DataFrame:
-    """aligned_sum for buckets where a source may have several rows: the last value of each source counts,
-    and every time all are there a row comes out and the values are forgotten.
-    The rows of one target and one bucket are gathered; a bucket is as long as the target's level.
+    rows: stream_id (of the target), ts, seq, value, ord. A bucket with one row of each source is settled by a partial
+    aggregation; only the rows of buckets where a source has more are gathered and folded, so what is gathered is one bucket of one target.
     """
     g = level(g)
     at = rows.withColumn("bucket", g.floor_column(F.col("ts")))
-    listed = at.groupBy("stream_id", "bucket").agg(
-        F.sort_array(F.collect_list(F.struct("ts", "ord", "seq", "value"))).alias("rows"), F.count_distinct("ord").alias("k")
-    )
+    values = [F.max(F.when(F.col("ord") == i, F.col("value"))).alias(f"v{i}") for i in range(sources)]
+    there = [F.max((F.col("ord") == i).cast("int")) for i in range(sources)]
+    k = there[0]
+    for t in there[1:]:
+        k = k + t
+    per = at.groupBy("stream_id", "bucket").agg(F.count(F.lit(1)).alias("n"), k.alias("k"), F.max("seq").alias("seq"), *values).where(F.col("k") == sources)
+    total = F.lit(0.0)
+    for i in range(sources):
+        total = total + F.coalesce(f"v{i}", F.lit(0.0))
+    some = F.coalesce(*[f"v{i}" for i in range(sources)]).isNotNull()
+    plain = per.where(F.col("n") == sources).select("stream_id", F.col("bucket").alias("ts"), "seq", F.when(some, total).alias("value"))
+    several = per.where(F.col("n") > sources).select("stream_id", "bucket")
+    return plain.unionByName(_folded(at.join(several, ["stream_id", "bucket"], "left_semi"), sources))
+
+
+def _folded(rows: DataFrame, sources: int) -> DataFrame:
+    """`aligned_sum` of the rows (with bucket) of complete buckets, one after the other."""
+    listed = rows.groupBy("stream_id", "bucket").agg(F.sort_array(F.collect_list(F.struct("ts", "ord", "seq", "value"))).alias("rows"))
     none = F.expr(f"transform(sequence(1, {sources}), i -> cast(null as struct<seq:bigint,value:double>))")
     start = F.struct(none.alias("held"), F.expr("cast(array() as array<struct<seq:bigint,value:double>>)").alias("out"))
 
@@ -58,10 +70,10 @@ def aligned_sum_folded(rows: DataFrame, sources: int, g: str | Granularity) -> D
         full = F.forall(held, lambda x: x.isNotNull())
         values = F.filter(F.transform(held, lambda x: x["value"]), lambda x: x.isNotNull())
         total = F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, b: a + b))
-        emitted = F.array(F.struct(row["seq"].alias("seq"), total.alias("value")))
+        emitted = F.array(F.struct(F.array_max(F.transform(held, lambda x: x["seq"])).alias("seq"), total.alias("value")))
         return F.struct(F.when(full, none).otherwise(held).alias("held"), F.when(full, F.concat(state["out"], emitted)).otherwise(state["out"]).alias("out"))
 
-    folded = listed.where(F.col("k") == sources).select("stream_id", F.col("bucket").alias("ts"), F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("o"))
+    folded = listed.select("stream_id", F.col("bucket").alias("ts"), F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("o"))
     return folded.select("stream_id", "ts", F.col("o.seq").alias("seq"), F.col("o.value").alias("value"))
 
 
@@ -70,19 +82,17 @@ def derivative(rows: DataFrame) -> DataFrame:
 
     Two rows in one second give nothing, but the later one is what the next row is measured from.
     """
-    w = Window.partitionBy("stream_id").orderBy("ts", "seq")
-    seen = rows.withColumns({"pv": F.lag("value").over(w), "pt": F.lag("ts").over(w)})
-    dt = F.unix_seconds("ts") - F.unix_seconds("pt")
-    rate = (F.col("value") - F.col("pv")) / F.when(dt != 0, dt)
-    kept = F.col("value").isNull() | (F.col("pv").isNotNull() & (dt != 0))
+    seen = with_previous(rows, ["value", "ts"], ["ts", "seq"])
+    dt = F.unix_seconds("ts") - F.unix_seconds("prev.ts")
+    rate = (F.col("value") - F.col("prev.value")) / F.when(dt != 0, dt)
+    kept = F.col("value").isNull() | (F.col("prev.value").isNotNull() & (dt != 0))
     return seen.where(kept).select("stream_id", "ts", "seq", rate.alias("value"))
 
 
 def counter_reset(rows: DataFrame) -> DataFrame:
     """1 wherever a counter is lower than at its previous value; nulls are passed over."""
-    w = Window.partitionBy("stream_id").orderBy("ts", "seq")
-    seen = rows.where("value is not null").withColumn("pv", F.lag("value").over(w))
-    return seen.where("pv > value").select("stream_id", "ts", "seq", F.lit(1.0).alias("value"))
+    seen = with_previous(rows.where("value is not null"), ["value"], ["ts", "seq"])
+    return seen.where("prev.value > value").select("stream_id", "ts", "seq", F.lit(1.0).alias("value"))
 
 
 def counter_derivative(rows: DataFrame, max_value: float | None = None) -> DataFrame:
@@ -92,14 +102,13 @@ def counter_derivative(rows: DataFrame, max_value: float | None = None) -> DataF
     comes out as null and forgets it too. A value lower than the previous one without a reset has
     wrapped at `max_value`; without that bound it gives nothing.
     """
-    w = _ordered("stream_id")
-    events = rows.where("ord = 1 or value is null or value <> 0")
-    seen = events.withColumns({"pk": F.lag("ord").over(w), "pv": F.lag("value").over(w), "pt": F.lag("ts").over(w)})
-    dt = F.unix_seconds("ts") - F.unix_seconds("pt")
-    wrapped = F.lit(float(max_value)) - F.col("pv") + F.col("value") if max_value is not None else F.lit(None).cast("double")
-    delta = F.when(F.col("value") < F.col("pv"), wrapped).otherwise(F.col("value") - F.col("pv"))
+    seen = with_previous(rows.where("ord = 1 or value is null or value <> 0"), ["ord", "value", "ts"], ["ts", "ord", "seq"])
+    before = F.col("prev.value")
+    dt = F.unix_seconds("ts") - F.unix_seconds("prev.ts")
+    wrapped = F.lit(float(max_value)) - before + F.col("value") if max_value is not None else F.lit(None).cast("double")
+    delta = F.when(F.col("value") < before, wrapped).otherwise(F.col("value") - before)
     rate = F.when(F.col("value").isNotNull(), delta / F.when(dt != 0, dt))
-    usable = (F.col("ord") == 1) & (F.col("pk") == 1) & F.col("pv").isNotNull() & (dt != 0) & delta.isNotNull()
+    usable = (F.col("ord") == 1) & (F.col("prev.ord") == 1) & before.isNotNull() & (dt != 0) & delta.isNotNull()
     return seen.where(F.col("value").isNull() | usable).select("stream_id", "ts", "seq", rate.alias("value"))
 
 

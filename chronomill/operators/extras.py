@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.granularity import Granularity, level
+from .derive import with_previous
 
 
 def _bucketed(rows: DataFrame, g: str | Granularity) -> DataFrame:
@@ -40,8 +41,8 @@ def extremes(counts: DataFrame) -> DataFrame:
 def interval_stats(raw: DataFrame, g: str | Granularity) -> DataFrame:
     """Statistics of the seconds between neighbouring rows of a stream, by the bucket of the later row:
     intervals_mean, _min, _max, _sum_squares, _std_dev (population)."""
-    w = Window.partitionBy("stream_id").orderBy("ts", "seq")
-    gaps = raw.withColumn("gap", F.unix_seconds("ts") - F.unix_seconds(F.lag("ts").over(w))).where("gap is not null")
+    seen = with_previous(raw.select("stream_id", "ts", "seq"), ["ts"], ["ts", "seq"])
+    gaps = seen.withColumn("gap", F.unix_seconds("ts") - F.unix_seconds("prev.ts")).where("gap is not null")
     n, s, q = F.count("gap"), F.sum("gap"), F.sum(F.col("gap") * F.col("gap"))
     variance = q / n - (s / n) * (s / n)
     return (

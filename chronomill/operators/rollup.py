@@ -92,21 +92,27 @@ def empty_v() -> Column:
     return F.struct(F.lit(0).cast("long").alias("c"), *[null.alias(k) for k in ("s", "q", "l", "u", "m", "d")])
 
 
-def gap_filled(rollup: DataFrame, g: str | Granularity, bounds: DataFrame | None = None) -> DataFrame:
+def gap_filled(rollup: DataFrame, g: str | Granularity, bounds: DataFrame | None = None, whole: bool = False) -> DataFrame:
     """`rollup` with a row for every bucket of each stream's span; empty ones have count 0 and mid-bucket times.
 
-    bounds: stream_id, lo, hi (hi exclusive); by default from a stream's first to its last bucket.
-    Streams without rows in `rollup` stay without. The spine is dealt by the rollup's own keys.
+    bounds: stream_id, lo, hi (hi exclusive); by default, and where they are null, from a stream's first to its last bucket.
+    With `whole` all bounds are given, so `rollup` is read once. Streams without rows in `rollup` stay without, unless `whole`.
+    The spine is made day by day, and dealt by the rollup's own keys.
     """
     g = level(g)
     seconds = F.unix_seconds("bucket")
-    spans = rollup.groupBy("stream_id").agg(F.min(seconds).alias("lo"), (F.max(seconds) + g.seconds).alias("hi"))
-    if bounds is not None:
-        given = bounds.select("stream_id", F.unix_seconds("lo").alias("g_lo"), F.unix_seconds("hi").alias("g_hi"))
-        spans = spans.join(given, "stream_id").select("stream_id", F.coalesce("g_lo", "lo").alias("lo"), F.coalesce("g_hi", "hi").alias("hi"))
-    spine = spans.where("lo < hi").select(
-        "stream_id", F.explode(F.sequence("lo", F.col("hi") - g.seconds, F.lit(g.seconds).cast("long"))).alias("_s")
-    )
+    if whole:
+        spans = bounds.select("stream_id", F.unix_seconds("lo").alias("lo"), F.unix_seconds("hi").alias("hi"))
+    else:
+        spans = rollup.groupBy("stream_id").agg(F.min(seconds).alias("lo"), (F.max(seconds) + g.seconds).alias("hi"))
+        if bounds is not None:
+            given = bounds.select("stream_id", F.unix_seconds("lo").alias("g_lo"), F.unix_seconds("hi").alias("g_hi"))
+            spans = spans.join(given, "stream_id").select("stream_id", F.coalesce("g_lo", "lo").alias("lo"), F.coalesce("g_hi", "hi").alias("hi"))
+    day = 86_400
+    days = F.explode(F.sequence(F.floor(F.col("lo") / day) * day, F.col("hi") - 1, F.lit(day).cast("long")))
+    spine = spans.where("lo < hi").select("stream_id", "lo", "hi", days.alias("_day"))
+    first, last = F.greatest("lo", "_day"), F.least(F.col("hi"), F.col("_day") + day)
+    spine = spine.select("stream_id", F.explode(F.sequence(first, last - g.seconds, F.lit(g.seconds).cast("long"))).alias("_s"))
     spine = spine.select("stream_id", F.timestamp_seconds("_s").alias("bucket"))
     middle = g.middle(F.col("bucket"))
     empty_t = F.struct(middle.alias("m"), middle.alias("a"), middle.alias("z"))
@@ -129,14 +135,14 @@ def cascade(raw: DataFrame, highest: str | Granularity = "seconds", gaps: bool =
     has left it.
     """
     out: dict[str, DataFrame] = {}
-    newest = raw.groupBy("stream_id").agg(F.max("ts").alias("newest"))
+    ends = raw.groupBy("stream_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
     before = None
     for g in coarser(level(highest)):
-        made = closed(first_level(raw, g, exact_scale) if before is None else merge_level(before, g), g, newest)
-        ends = newest.select("stream_id", F.lit(None).cast("timestamp").alias("lo"), g.floor_column(F.col("newest")).alias("hi"))
-        before = gap_filled(made, g, ends) if gaps else made
+        made = first_level(raw, g, exact_scale) if before is None else merge_level(before, g)
+        ends = ends.select("stream_id", g.floor_column(F.col("lo")).alias("lo"), g.floor_column(F.col("hi")).alias("hi"))
+        # The spine ends where closed buckets do, so each level is read once by the next.
+        before = gap_filled(made, g, ends, whole=True) if gaps else closed(made, g, ends.withColumnRenamed("hi", "newest"))
         out[g.name] = before
-        newest = newest.select("stream_id", g.floor_column(F.col("newest")).alias("newest"))
     return out
 
 

@@ -473,7 +473,7 @@ class Engine:
             rows = rows.limit(0)
         g = stream.highest_granularity
         if stream.derive_op == "sum":
-            made = derive.aligned_sum_folded(rows, len(inputs), g)
+            made = derive.aligned_sum(rows, len(inputs), g)
         elif stream.derive_op == "derivative":
             made = derive.derivative(rows)
         elif stream.derive_op == "counter_reset":

@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import OutstandingDependenciesError
 from ..functions import tags
-from ..functions.granularity import LEVELS, level
+from ..functions.granularity import LEVELS, level, to_seconds
 from ..operators import derive, extras, ranges, rollup, values
 from ..sources.scratch import scratch
 from ..streaming import derive as streaming_derive
 from ..streaming import rollups as streaming_rollups
+from .engine import Engine
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -182,17 +184,28 @@ def rollup_closed_only(spark, sf_dir):
     FROM n, (SELECT unnest([3600, 21600, 86400]) AS g)""",
 )
 def rollup_levels_counts(spark, sf_dir):
-    """Rows of each level of the gap-filled cascade of an hourly stream of sums."""
-    raw = events(spark, sf_dir)
-    newest = raw.groupBy("stream_id").agg(F.max("ts").alias("newest"))
-    out, before = [], None
-    for name in ("hours", "6hours", "days"):
-        g = level(name)
-        made = rollup.first_level(raw, g, 2) if before is None else rollup.merge_level(before, g)
-        ends = newest.select("stream_id", F.lit(None).cast("timestamp").alias("lo"), g.floor_column(F.col("newest")).alias("hi"))
-        before = rollup.gap_filled(rollup.closed(made, g, newest), g, ends)
-        out.append(before.groupBy("stream_id").agg(F.count(F.lit(1)).alias("buckets")).withColumn("seconds", F.lit(g.seconds)))
-    return out[0].unionByName(out[1]).unionByName(out[2]).select("stream_id", "seconds", "buckets")
+    """Rows of each level of the gap-filled cascade, from hours on."""
+    levels = rollup.cascade(events(spark, sf_dir), "10minutes", exact_scale=2)
+    counts = [made.groupBy("stream_id").agg(F.count(F.lit(1)).alias("buckets")).withColumn("seconds", F.lit(level(name).seconds)) for name, made in levels.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out.select("stream_id", "seconds", "buckets")
+
+
+#: Without exact decimals, as the engine computes, sums depend on the order of rows, by less than is rounded away.
+_ROUNDED = ["stream_id", "bucket", "c", "round(s, 4) AS s", "round(q, 6) AS q", "l", "u", "round(m, 9) AS m", "t_m", "t_a", "t_z"]
+
+
+@query("rollup_1h_double", f"SELECT {', '.join(_ROUNDED)} FROM ({shaped_sql(first_sql(3600, EVN), 3600)})")
+def rollup_1h_double(spark, sf_dir):
+    return flat(rollup.first_level(events(spark, sf_dir, value=nulled()), "hours"), "csqlum").selectExpr(*_ROUNDED)
+
+
+@query("rollup_cascade_6h_double", f"SELECT {', '.join(_ROUNDED)} FROM ({shaped_sql(merge_sql(shaped_sql(first_sql(3600, EVN), 3600), 21600), 21600)})")
+def rollup_cascade_6h_double(spark, sf_dir):
+    hours = rollup.first_level(events(spark, sf_dir, value=nulled()), "hours")
+    return flat(rollup.merge_level(hours, "6hours"), "csqlum").selectExpr(*_ROUNDED)
 
 
 @query("rollup_on_read_1h", f"SELECT stream_id, bucket, c, s, q, l, u, m, d, bucket AS t_m FROM ({shaped_sql(first_sql(3600), 3600, SAMPLE)})")
@@ -251,39 +264,42 @@ def _out(df: DataFrame) -> DataFrame:
     return df.select("stream_id", S("ts").alias("ts"), "seq", "value")
 
 
-def _hourly_first(spark, sf_dir, value) -> DataFrame:
-    """One row a stream and hour: the hour's first event."""
-    raw = events(spark, sf_dir, value=value)
-    at = raw.withColumn("h", level("hours").floor_column(F.col("ts")))
-    return at.groupBy("stream_id", F.col("h").alias("ts")).agg(F.min("seq").alias("seq"), F.min_by("value", "seq").alias("value"))
-
+def _fold_sql(first: str, second: str, n: int, name: str) -> str:
+    """Two sources in buckets of `n` seconds, row by row: the last value of each counts until both are there."""
+    return f"""WITH RECURSIVE c AS (
+        SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY ts, ord, seq) AS rn
+        FROM (SELECT ts - ts % {n} AS bucket, ts, 0 AS ord, seq, value FROM ({first}) UNION ALL SELECT ts - ts % {n}, ts, 1, seq, value FROM ({second}))
+    ), f AS (
+        SELECT bucket, rn, ord = 0 AS h0, ord = 1 AS h1, CASE WHEN ord = 0 THEN value END AS v0, CASE WHEN ord = 1 THEN value END AS v1,
+            CASE WHEN ord = 0 THEN seq END AS s0, CASE WHEN ord = 1 THEN seq END AS s1, false AS made FROM c WHERE rn = 1
+        UNION ALL
+        SELECT bucket, rn, n0 AND NOT n1, n1 AND NOT n0, v0, v1, s0, s1, n0 AND n1 FROM (
+            SELECT c.bucket, c.rn, ord = 0 OR h0 AS n0, ord = 1 OR h1 AS n1,
+                CASE WHEN ord = 0 THEN value ELSE v0 END AS v0, CASE WHEN ord = 1 THEN value ELSE v1 END AS v1,
+                CASE WHEN ord = 0 THEN seq ELSE s0 END AS s0, CASE WHEN ord = 1 THEN seq ELSE s1 END AS s1
+            FROM f JOIN c ON c.bucket = f.bucket AND c.rn = f.rn + 1)
+    ) SELECT '{name}' AS stream_id, bucket AS ts, greatest(s0, s1) AS seq, CASE WHEN v0 IS NOT NULL OR v1 IS NOT NULL THEN coalesce(v0, 0) + coalesce(v1, 0) END AS value
+    FROM f WHERE made"""
 
-def _sum_sql(source: str) -> str:
-    return f"""WITH f AS (SELECT stream_id AS src, ts - ts % 3600 AS ts, min(seq) AS seq, arg_min_null(value, seq) AS value FROM ({source})
-        WHERE stream_id IN ('click', 'view') GROUP BY ALL)
-    SELECT 'both' AS stream_id, ts, max(seq) AS seq, cast(sum(cast(value AS DECIMAL(18,2))) AS DOUBLE) AS value FROM f GROUP BY ts HAVING count(*) = 2"""
 
+def _sum_sql(source: str, n: int) -> str:
+    return _fold_sql(f"SELECT * FROM ({source}) WHERE stream_id = 'click'", f"SELECT * FROM ({source}) WHERE stream_id = 'view'", n, "both")
 
-def _two(raw: DataFrame) -> DataFrame:
-    return derive.tagged([raw.where("stream_id = 'click'"), raw.where("stream_id = 'view'")], "both")
 
-
-@query("derive_sum", _sum_sql(EV))
+@query("derive_sum", _sum_sql(EV, 3600))
 def derive_sum(spark, sf_dir):
-    out = derive.aligned_sum(_two(_hourly_first(spark, sf_dir, "value")), 2, "hours")
-    return _out(out.withColumn("value", F.col("value").cast("decimal(18,2)").cast("double")))
+    return _out(derive.aligned_sum(_pair(spark, sf_dir), 2, "hours"))
 
 
-@query("derive_sum_nulls", _sum_sql(EVN))
+@query("derive_sum_nulls", _sum_sql(EVN, 3600))
 def derive_sum_nulls(spark, sf_dir):
-    out = derive.aligned_sum(_two(_hourly_first(spark, sf_dir, nulled())), 2, "hours")
-    return _out(out.withColumn("value", F.col("value").cast("decimal(18,2)").cast("double")))
+    return _out(derive.aligned_sum(_pair(spark, sf_dir, nulled()), 2, "hours"))
 
 
-@query("derive_sum_folded")
+@query("derive_sum_folded", _sum_sql(EV, 86400))
 def derive_sum_folded(spark, sf_dir):
-    """Several rows of a source in one ten-second bucket: each complete set gives a row."""
-    return _out(derive.aligned_sum_folded(_pair(spark, sf_dir), 2, "10minutes"))
+    """Many rows of a source in a bucket of a day: each complete set gives a row."""
+    return _out(derive.aligned_sum(_pair(spark, sf_dir), 2, "days"))
 
 
 @query(
@@ -354,23 +370,12 @@ def derive_counter_derivative_max(spark, sf_dir):
     return _out(derive.counter_derivative(_counters(spark, sf_dir), 256))
 
 
-@query(
-    "derive_chain",
-    f"""WITH d AS ({_derivative_sql(EV)}), p AS (
-        SELECT ts - ts % 3600 AS ts, 0 AS ord, min(seq) AS seq, arg_min_null(value, seq) AS value FROM d WHERE stream_id = 'click' GROUP BY ALL
-        UNION ALL SELECT ts - ts % 3600, 1, min(seq), arg_min_null(value, seq) FROM ({EV}) WHERE stream_id = 'view' GROUP BY ALL
-    ) SELECT 'chain' AS stream_id, ts, max(seq) AS seq, max(CASE WHEN ord = 0 THEN value END) + max(CASE WHEN ord = 1 THEN value END) AS value
-    FROM p GROUP BY ts HAVING count(*) = 2""",
-)
+@query("derive_chain", _fold_sql(f"SELECT * FROM ({_derivative_sql(EV)}) WHERE stream_id = 'click'", f"SELECT * FROM ({EV}) WHERE stream_id = 'view'", 3600, "chain"))
 def derive_chain(spark, sf_dir):
     """A sum of one stream's derivative and another stream, by hours."""
     raw = events(spark, sf_dir)
-
-    def hourly(df):
-        return df.groupBy("stream_id", level("hours").floor_column(F.col("ts")).alias("ts")).agg(F.min("seq").alias("seq"), F.min_by("value", "seq").alias("value"))
-
-    rate = hourly(derive.derivative(raw.where("stream_id = 'click'")))
-    return _out(derive.aligned_sum(derive.tagged([rate, hourly(raw.where("stream_id = 'view'"))], "chain"), 2, "hours"))
+    rate = derive.derivative(raw.where("stream_id = 'click'"))
+    return _out(derive.aligned_sum(derive.tagged([rate, raw.where("stream_id = 'view'")], "chain"), 2, "hours"))
 
 
 @query("rollup_of_derived", f"SELECT stream_id, ts - ts % 86400 AS bucket, count(value) AS c, min(ts) AS t_a, max(ts) AS t_z FROM ({_reset_sql(EV)}) GROUP BY ALL")
@@ -422,26 +427,99 @@ def stream_props_filter(spark, sf_dir):
     return table(spark, sf_dir, "events").where(tags.matches({"k": {"gte": 50}}, F.col("props"))).select("event_id")
 
 
-@query("earliest_latest", f"SELECT stream_id, min(ts) AS earliest, max(ts) AS latest FROM ({EV}) GROUP BY 1")
+# the engine itself
+
+
+def _engine(spark, sf_dir, highest: str = "seconds", downsamplers: tuple = ()) -> tuple[Engine, dict[str, str]]:
+    """An engine with a stream for each type of event, and the streams' ids by type."""
+    engine = Engine(spark, scratch(spark, "engine"))
+    rows = events(spark, sf_dir, value=nulled())
+    kinds = sorted(r["stream_id"] for r in rows.select("stream_id").distinct().collect())
+    ids = {k: engine.ensure_stream({"kind": k}, {}, list(downsamplers), highest) for k in kinds}
+    named = engine.store.local(list(ids.items()), "kind string, id string")
+    at = rows.join(F.broadcast(named), F.col("stream_id") == F.col("kind"))
+    engine.append_frame(at.select(F.col("id").alias("stream_id"), "ts", "seq", "value"))
+    return engine, ids
+
+
+def _kinds(engine: Engine, ids: dict[str, str]) -> DataFrame:
+    return engine.store.local([(v, k) for k, v in ids.items()], "stream_id string, kind string")
+
+
+@query("earliest_latest", f"SELECT stream_id AS kind, min(ts) AS earliest, max(ts) AS latest FROM ({EV}) GROUP BY 1")
 def earliest_latest(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("stream_id").agg(S(F.min("ts")).alias("earliest"), S(F.max("ts")).alias("latest"))
+    """Times of the first and last datapoint, as tags say."""
+    engine, _ = _engine(spark, sf_dir)
+    rows = [(s["kind"], to_seconds(s["earliest_datapoint"]), to_seconds(s["latest_datapoint"])) for s in engine.find_streams()]
+    return engine.store.local(rows, "kind string, earliest long, latest long")
 
 
-@query("stream_count", f"SELECT stream_id, count(*) AS n, count(value) AS values FROM ({EVN}) GROUP BY 1")
+@query("stream_count", f"SELECT stream_id AS kind, count(*) AS n, count(value) AS values FROM ({EVN}) GROUP BY 1")
 def stream_count(spark, sf_dir):
-    return events(spark, sf_dir, value=nulled()).groupBy("stream_id").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("values"))
+    """Lengths of reads."""
+    engine, ids = _engine(spark, sf_dir)
+    read = {k: engine.get_data(i, "seconds", start=_at(0)) for k, i in ids.items()}
+    return engine.store.local([(k, len(d), d.df.where("value is not null").count()) for k, d in read.items()], "kind string, n long, values long")
+
 
+@query("engine_reverse_slice", f"SELECT stream_id AS kind, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY ts DESC, seq DESC) AS r FROM ({EVN}) WHERE ts >= 1704672000) WHERE r > 20 AND r <= 70")
+def engine_reverse_slice(spark, sf_dir):
+    """A slice of each stream, newest first, as the engine's reads give it."""
+    engine, ids = _engine(spark, sf_dir)
+    rows = [(k, to_seconds(p["t"]), p["v"]) for k, i in ids.items() for p in engine.get_data(i, "seconds", start=_at(1704672000), reverse=True)[20:70]]
+    return engine.store.local(rows, "kind string, ts long, value double")
 
-@query("dependents_semi_join", "SELECT DISTINCT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+
+@query(
+    "engine_rollup_6h",
+    f"""WITH n AS (SELECT stream_id, min(ts) - min(ts) % 21600 AS lo, max(ts) - max(ts) % 21600 AS hi FROM ({EVN}) GROUP BY 1),
+        r AS ({shaped_sql(merge_sql(shaped_sql(first_sql(3600, EVN), 3600), 21600), 21600)}),
+        b AS (SELECT stream_id, unnest(generate_series(lo, hi - 1, 21600)) AS bucket FROM n)
+    SELECT b.stream_id AS kind, b.bucket, coalesce(c, 0) AS c, round(s, 4) AS s, l, u FROM b LEFT JOIN r USING (stream_id, bucket)""",
+)
+def engine_rollup_6h(spark, sf_dir):
+    """Two levels that downsample_streams has written, run twice."""
+    engine, ids = _engine(spark, sf_dir, "10minutes", ("sum", "min", "max"))
+    engine.downsample_streams()
+    engine.downsample_streams()
+    made = engine.store.rollups("6hours").join(_kinds(engine, ids), "stream_id")
+    return made.select("kind", S("bucket").alias("bucket"), "v.c", F.round("v.s", 4).alias("s"), "v.l", "v.u")
+
+
+def _derived(engine: Engine, ids: dict[str, str]) -> dict[str, str]:
+    both = engine.ensure_stream({"kind": "both"}, {}, [], "seconds", [ids["click"], ids["view"]], "sum")
+    rate = engine.ensure_stream({"kind": "rate"}, {}, [], "seconds", ids["purchase"], "derivative")
+    return ids | {"both": both, "rate": rate, "change": engine.ensure_stream({"kind": "change"}, {}, [], "seconds", both, "derivative")}
+
+
+@query("dependents_semi_join", "SELECT * FROM (VALUES ('click', 'both'), ('view', 'both'), ('purchase', 'rate'), ('both', 'change')) AS t(source, dependent)")
 def dependents_semi_join(spark, sf_dir):
-    """Which streams feed one of a set: a semi-join on the dependency table (customers of urgent orders)."""
-    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
-    return table(spark, sf_dir, "customer").select("c_custkey").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+    """Which streams are derived from which, as tags say."""
+    engine, ids = _engine(spark, sf_dir)
+    _derived(engine, ids)
+    found = engine.find_streams()
+    kinds = {s["stream_id"]: s["kind"] for s in found}
+    return engine.store.local([(s["kind"], kinds[d]) for s in found for d in s.get("contributes_to", [])], "source string, dependent string")
 
 
-@query("delete_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query(
+    "delete_anti_join",
+    f"""SELECT stream_id AS kind, count(*) AS n, stream_id IN ('click', 'view') AS refused FROM ({EVN}) WHERE stream_id <> 'purchase' GROUP BY 1
+    UNION ALL SELECT 'both', (SELECT count(*) FROM ({_fold_sql(f"SELECT * FROM ({EVN}) WHERE stream_id = 'click'", f"SELECT * FROM ({EVN}) WHERE stream_id = 'view'", 1, "both")})), false""",
+)
 def delete_anti_join(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    """What is left when a stream goes with its dependents, compacted, and what cannot go since others need it."""
+    engine, ids = _engine(spark, sf_dir)
+    every, refused = _derived(engine, ids), set()
+    engine.backprocess_streams()
+    for kind in ("change", "rate", "purchase", "click", "view"):
+        try:
+            engine.delete_streams({"kind": kind})
+        except OutstandingDependenciesError:
+            refused.add(kind)
+    engine.compact()
+    rows = [(s["kind"], len(engine.get_data(every[s["kind"]], "seconds", start=_at(0))), s["kind"] in refused) for s in engine.find_streams()]
+    return engine.store.local(rows, "kind string, n long, refused boolean")
 
 
 # extensions

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -16,24 +17,20 @@ class Derivative(StatefulProcessor):
         self.last = handle.getValueState("last", "second long, value double")
 
     def handleInputRows(self, key, rows, timerValues):
-        frames = list(rows)
-        frame = pd.concat(frames).sort_values(["ts", "seq"], kind="stable")
+        frame = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
         held = self.last.get() if self.last.exists() else None
-        out = []
-        for ts, value in zip(frame["ts"], frame["value"]):
-            second = int(pd.Timestamp(ts).timestamp() // 1)
-            if pd.isna(value):
-                out.append((key[0], ts, None))
-                held = None
-                continue
-            if held is not None and second != held[0]:
-                out.append((key[0], ts, (value - held[1]) / (second - held[0])))
-            held = (second, float(value))
-        if held is None:
+        second = frame["ts"].map(lambda t: int(pd.Timestamp(t).timestamp() // 1)).to_numpy(np.int64)
+        value = frame["value"].to_numpy(np.float64, na_value=np.nan)
+        before, then = np.concatenate([[np.nan if held is None else held[1]], value[:-1]]), np.concatenate([[0 if held is None else held[0]], second[:-1]])
+        dt = second - then
+        none = np.isnan(value)  # comes out as null, and the next row has nothing to be measured from
+        kept = none | (~np.isnan(before) & (dt != 0))
+        rate = (value - before)[kept] / np.where(dt == 0, 1, dt)[kept]
+        if none[-1]:
             self.last.clear()
         else:
-            self.last.update(held)
-        yield pd.DataFrame(out, columns=["stream_id", "ts", "value"])
+            self.last.update((int(second[-1]), float(value[-1])))
+        yield pd.DataFrame({"stream_id": key[0], "ts": frame["ts"].to_numpy()[kept], "value": pd.Series(rate).astype(object).where(~none[kept], None)})
 
     def close(self) -> None:
         pass
