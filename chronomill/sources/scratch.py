@@ -13,9 +13,11 @@ _own: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; under a folder of our own where that is unset."""
+    """A new path under spark.checkpoint.dir; under a folder of our own where that is unset and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="chronomill-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
