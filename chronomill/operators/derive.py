@@ -23,6 +23,16 @@ def with_previous(rows: DataFrame, fields: list[str], order: list[str]) -> DataF
     return seen.join(carried, ["stream_id", "_day"]).withColumn("prev", F.coalesce("prev", "_carried")).drop("_day", "_last", "_carried")
 
 
+#: The rows that an operator looks at: each is measured from the one before.
+MEASURED = {"derivative": "true", "counter_reset": "value is not null", "counter_derivative": "ord = 1 or value is null or value <> 0"}
+
+
+def last_rows(rows: DataFrame, operator: str) -> DataFrame:
+    """stream_id, last: the row (ord, ts, seq, value) of each target that its next one is measured from."""
+    order, row = F.struct("ts", "ord", "seq"), F.struct("ord", "ts", "seq", "value")
+    return rows.where(MEASURED[operator]).groupBy("stream_id").agg(F.max_by(row, order).alias("last"))
+
+
 def tagged(sources: list[DataFrame], dst: str | None = None) -> DataFrame:
     """Points (stream_id, ts, seq, value) of all sources with ord, the source's place; stream_id is the target's."""
     parts = [
@@ -91,7 +101,7 @@ def derivative(rows: DataFrame) -> DataFrame:
 
 def counter_reset(rows: DataFrame) -> DataFrame:
     """1 wherever a counter is lower than at its previous value; nulls are passed over."""
-    seen = with_previous(rows.where("value is not null"), ["value"], ["ts", "seq"])
+    seen = with_previous(rows.where(MEASURED["counter_reset"]), ["value"], ["ts", "seq"])
     return seen.where("prev.value > value").select("stream_id", "ts", "seq", F.lit(1.0).alias("value"))
 
 
@@ -102,7 +112,7 @@ def counter_derivative(rows: DataFrame, max_value: float | None = None) -> DataF
     comes out as null and forgets it too. A value lower than the previous one without a reset has
     wrapped at `max_value`; without that bound it gives nothing.
     """
-    seen = with_previous(rows.where("ord = 1 or value is null or value <> 0"), ["ord", "value", "ts"], ["ts", "ord", "seq"])
+    seen = with_previous(rows.where(MEASURED["counter_derivative"]), ["ord", "value", "ts"], ["ts", "ord", "seq"])
     before = F.col("prev.value")
     dt = F.unix_seconds("ts") - F.unix_seconds("prev.ts")
     wrapped = F.lit(float(max_value)) - before + F.col("value") if max_value is not None else F.lit(None).cast("double")

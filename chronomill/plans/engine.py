@@ -16,7 +16,7 @@ from ..functions import aggregates as A
 from ..functions import tags as T
 from ..functions.granularity import Granularity, as_utc, coarser, from_seconds, level, to_seconds
 from ..operators import derive, ranges, rollup, values
-from ..sources.catalog import HEAD_FIELDS, PROGRESS_FIELDS, STREAM_FIELDS, Catalog, Source, Stream
+from ..sources.catalog import DERIVED_FIELDS, HEAD_FIELDS, PROGRESS_FIELDS, STREAM_FIELDS, Catalog, Source, Stream
 from ..sources.store import ROLLUP_FIELDS, Contended, Store
 from .results import Datapoints
 
@@ -29,8 +29,8 @@ _ATTEMPTS = 4
 class Engine:
     """Twelve operations on tagged streams.
 
-    Derived streams are plans over their sources, not copies: a read of one is a read of its sources with the
-    operator on top. `mode` is how rollups are read: "materialized" (closed buckets that downsample_streams has
+    Derived streams are stored as far as `store_derived` has come, which every rollup run calls, and a plan over their sources from
+    there on. `mode` is how rollups are read: "materialized" (closed buckets that downsample_streams has
     written) or "on_read" (buckets made when read, the newest included). Points committed within the last `margin`
     seconds hold a stream's rollups back; a rollup run of over `overrun` seconds warns.
 
@@ -256,6 +256,7 @@ class Engine:
         alive = self.catalog.table().select("stream_id")
         tables = {
             "heads": (HEAD_FIELDS, lambda df: df.groupBy("stream_id").agg(F.min("earliest").alias("earliest"), F.max("latest").alias("latest"), F.max("at").alias("at"))),
+            "derived": (DERIVED_FIELDS, lambda df: df.groupBy("stream_id").agg(F.max_by(F.struct(*df.columns), "until").alias("s")).select("s.*")),
             "progress": (PROGRESS_FIELDS, lambda df: df.groupBy("stream_id", "granularity").agg(F.max("until").alias("until"))),
             "streams": (STREAM_FIELDS, lambda df: df.groupBy("stream_id").agg(F.max_by(F.struct(*df.columns), "version").alias("s")).select("s.*").where("not deleted")),
         }
@@ -452,17 +453,25 @@ class Engine:
 
     # derived streams
 
-    def points(self, stream: Stream, at: Granularity | None = None) -> DataFrame:
-        """Points of a stream: stored, or its sources' with the derive operator on top."""
+    def points(self, stream: Stream) -> DataFrame:
+        """Points of a stream: what is stored, and of a derived one also what its sources have had since, through its operator."""
+        stored = self.store.points().where(F.col("stream_id") == stream.stream_id)
         if not stream.derive_op:
-            return self.store.points().where(F.col("stream_id") == stream.stream_id)
-        empty = F.lit(None).cast("string"), F.lit(None).cast(rollup.AGG)
+            return stored
+        state = self.catalog.derived().get(stream.stream_id)
+        made = self._made(stream, state).withColumn("day", F.to_date("ts"))
+        return made if state is None else stored.unionByName(made.select(*stored.columns))
+
+    def _inputs(self, stream: Stream, state: dict | None) -> DataFrame:
+        """Rows of a derived stream's sources, from where it is stored to, and the row before them that it goes on from."""
         inputs = []
         for s in stream.derived_from:
             source = self.catalog.get(s.stream_id)
             g = level(s.granularity)
             if g == level(source.highest_granularity):
                 rows = self.points(source).where(F.col("seq") >= stream.from_seq)
+                if state is not None:
+                    rows = self._days(rows, source, start=as_utc(state["until"]))
                 numeric = F.coalesce(F.col("value"), F.col("agg.m"), F.col("value_json").try_cast("double"))
                 # A nominal value that is no number is passed over; only a null is a null.
                 inputs.append(rows.where(F.col("value_json").isNull() | numeric.isNotNull()).withColumn("value", numeric))
@@ -471,9 +480,18 @@ class Engine:
         rows = derive.tagged(inputs, stream.stream_id)
         if stream.pending_backprocess:
             rows = rows.limit(0)
-        g = stream.highest_granularity
+        if state is not None:
+            rows = rows.where(F.col("ts") >= F.lit(as_utc(state["until"])))
+            if state["ts"] is not None:
+                last = [(stream.stream_id, as_utc(state["ts"]), state["seq"], state["value"], state["ord"])]
+                rows = rows.unionByName(self.store.local(last, "stream_id string, ts timestamp, seq long, value double, ord int"))
+        return rows
+
+    def _made(self, stream: Stream, state: dict | None) -> DataFrame:
+        """Points that a derived stream has from where it is stored to."""
+        rows, g = self._inputs(stream, state), stream.highest_granularity
         if stream.derive_op == "sum":
-            made = derive.aligned_sum(rows, len(inputs), g)
+            made = derive.aligned_sum(rows, len(stream.derived_from), g)
         elif stream.derive_op == "derivative":
             made = derive.derivative(rows)
         elif stream.derive_op == "counter_reset":
@@ -481,8 +499,63 @@ class Engine:
         else:
             bound = stream.derive_args.get("max_value")
             made = derive.counter_derivative(rows, None if bound is None else float(bound))
-        text = F.col("value").cast("int").cast("string") if stream.value_type == "nominal" else empty[0]
-        return made.withColumns({"value_json": text, "agg": empty[1]})
+        if state is not None:
+            made = made.where(F.col("ts") >= F.lit(as_utc(state["until"])))
+        text = F.col("value").cast("int").cast("string") if stream.value_type == "nominal" else F.lit(None).cast("string")
+        return made.withColumns({"value_json": text, "agg": F.lit(None).cast(rollup.AGG)}).select("stream_id", "ts", "seq", "value", "value_json", "agg")
+
+    def store_derived(self, query_tags: dict | None = None) -> int:
+        """Store the points of derived streams as far as all their sources have come, so that reads and rollups go on from there.
+
+        What is stored is final: points before a source's newest second cannot come any more, those that are appended
+        unchecked excepted. Beside it is kept the one row that the next point is measured from, so a run reads only what
+        is new. All streams are one commit. Gives the number of streams that have come further.
+        """
+        since = self.store.refresh().version
+        streams = [s for s in self.catalog.find(query_tags) if s.derive_op and not s.pending_backprocess]
+        if not streams:
+            return 0
+        ends = {r["stream_id"]: to_seconds(r["latest"]) for r in self.catalog.heads().collect() if r["latest"]}
+        reached = {(r["stream_id"], r["granularity"]): to_seconds(r["until"]) for r in self.catalog.progress().collect()}
+        states, until = self.catalog.derived(), {k: to_seconds(v["until"]) for k, v in self.catalog.derived().items()}
+        parts, lasts, moved = [], [], {}
+        for s in streams:  # sources were made before what is derived from them
+            bounds = []
+            for x in s.derived_from:
+                source = self.catalog.get(x.stream_id)
+                if level(x.granularity) != level(source.highest_granularity):
+                    bounds.append(reached.get((x.stream_id, x.granularity)))
+                else:
+                    bounds.append(until.get(x.stream_id) if source.derive_op else ends.get(x.stream_id))
+            if any(b is None for b in bounds):
+                continue
+            size = level(s.highest_granularity).seconds
+            end = min(bounds) // size * size if s.derive_op == "sum" else min(bounds)
+            if end <= until.get(s.stream_id, -1):
+                continue
+            state, limit = states.get(s.stream_id), F.lit(from_seconds(end))
+            parts.append(self._made(s, state).where(F.col("ts") < limit))
+            if s.derive_op != "sum":
+                lasts.append(derive.last_rows(self._inputs(s, state).where(F.col("ts") < limit), s.derive_op))
+            until[s.stream_id] = moved[s.stream_id] = end
+        if not moved:
+            return 0
+        joined = lambda tables: tables[0] if len(tables) == 1 else tables[0].unionByName(joined(tables[1:]))
+        held = {r["stream_id"]: r["last"] for r in joined(lasts).collect()} if lasts else {}
+        rows = []
+        for k, end in moved.items():
+            last = held.get(k) or {"ord": None, "ts": None, "seq": None, "value": None}
+            rows.append((k, from_seconds(end), *(last[c] for c in ("ord", "ts", "seq", "value"))))
+        made = joined(parts).withColumn("day", F.to_date("ts"))
+        spread = made.repartition(F.col("day"), F.pmod(F.xxhash64("stream_id", "ts"), F.lit(16))).sortWithinPartitions("day", "stream_id", "ts", "seq")
+        new = {"points": [self.store.stage("points", spread, ["day"])]}
+        new["derived"] = [self.store.stage("derived", self.store.local(rows, DERIVED_FIELDS).coalesce(1))]
+        try:
+            self.store.commit("rollup", new, since=since)
+        except Contended as other:
+            self.store.discard(new)
+            raise E.LockExpiredMidMaintenance(str(other)) from other
+        return len(moved)
 
     def backprocess_streams(self, query_tags: dict | None = None) -> None:
         """Let pending derived streams see the data that their sources had before them."""
@@ -512,7 +585,9 @@ class Engine:
         """
         if self.mode == "on_read":
             return []
-        began, since = time.time(), self.store.refresh().version
+        began = time.time()
+        self.store_derived(query_tags)
+        since = self.store.refresh().version
         streams = [s for s in self.catalog.find(query_tags) if s.value_downsamplers]
         if filter_stream is not None:
             streams = [s for s, shown in zip(streams, self._described(streams)) if filter_stream(shown)]

@@ -20,6 +20,8 @@ STREAM_FIELDS = (
 #: `at`: when the batch was committed, in seconds.
 HEAD_FIELDS = "stream_id string, earliest timestamp, latest timestamp, at double"
 PROGRESS_FIELDS = "stream_id string, granularity string, until timestamp"
+#: How far a derived stream is stored, and the row of its sources that the next one is measured from.
+DERIVED_FIELDS = "stream_id string, until timestamp, ord int, ts timestamp, seq bigint, value double"
 
 
 @dataclass(frozen=True)
@@ -74,6 +76,7 @@ class Catalog:
         self.store, self.spark = store, store.spark
         self._runs: tuple | None = None
         self._held: list | None = None
+        self._derived: tuple[tuple, dict] | None = None
 
     def _rows(self) -> DataFrame:
         runs = tuple(self.store.runs("streams"))
@@ -150,3 +153,12 @@ class Catalog:
 
     def progress(self) -> DataFrame:
         return self.store.read("progress", PROGRESS_FIELDS).groupBy("stream_id", "granularity").agg(F.max("until").alias("until"))
+
+    def derived(self) -> dict[str, dict]:
+        """The state of each derived stream that is stored to some point (DERIVED_FIELDS), one row a stream."""
+        runs = tuple(self.store.runs("derived"))
+        if self._derived is None or self._derived[0] != runs:
+            rows = self.store.read("derived", DERIVED_FIELDS)
+            newest = rows.groupBy("stream_id").agg(F.max_by(F.struct(*rows.columns), "until").alias("s")).select("s.*")
+            self._derived = runs, {r["stream_id"]: r.asDict() for r in newest.collect()} if runs else {}
+        return self._derived[1]

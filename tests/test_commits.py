@@ -250,3 +250,36 @@ def test_cascade_reads_each_level_once(spark):
     scans = [df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") for df in levels.values()]
     assert max(scans) <= 8
     assert [df.agg(F.sum("v.c")).first()[0] for df in levels.values()][:2] == [399, 399]
+
+
+def test_stored_derived_streams_read_like_plans(spark, tmp_path):
+    import random
+
+    stored, plain = (Engine(spark, f"file://{tmp_path}/{n}") for n in ("stored", "plain"))
+    rng = random.Random(4)
+    batches, second = [], 0
+    for _ in range(4):
+        batch = []
+        for _ in range(30):
+            second += rng.choice([0, 1, 1, 2, 9, 50_000])
+            batch.append((rng.choice("abc"), second, rng.choice([None, 0.0, 1.0, 5.0, 3.0, 9.0])))
+        batches.append(batch)
+    shown = []
+    for engine in (stored, plain):
+        ids = {n: make(engine, n, ()) for n in "abc"}
+        ids["total"] = make(engine, "total", (), derive_from=[ids["a"], ids["b"]], derive_op="sum")
+        ids["rate"] = make(engine, "rate", (), derive_from=ids["a"], derive_op="derivative")
+        ids["change"] = make(engine, "change", (), derive_from=ids["total"], derive_op="derivative")
+        ids["reset"] = engine.ensure_stream({"name": "reset"}, {}, [], "seconds", ids["b"], "counter_reset", value_type="nominal")
+        ids["per"] = make(engine, "per", (), derive_from=[{"name": "reset", "stream": ids["reset"]}, {"stream": ids["c"]}], derive_op="counter_derivative", derive_args={"max_value": 10})
+        for n, batch in enumerate(batches):
+            engine.append_multiple([{"stream_id": ids[k], "value": v, "timestamp": at(s)} for k, s, v in batch])
+            if engine is stored and n != 2:
+                engine.store_derived()
+        shown.append({n: [(p["t"], p["v"]) for p in engine.get_data(i, "seconds", start=T0)] for n, i in ids.items()})
+    assert shown[0] == shown[1] and all(len(v) > 2 for v in shown[0].values())
+    state = stored.catalog.derived()
+    assert len(state) == 5
+    assert stored.store_derived() == 0
+    stored.compact()
+    assert {n: [(p["t"], p["v"]) for p in stored.get_data(s["stream_id"], "seconds", start=T0)] for s in stored.find_streams() for n in [s["name"]]} == shown[0]
