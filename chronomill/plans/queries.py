@@ -6,6 +6,8 @@ exact decimals, so results do not depend on the order of rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -608,21 +610,62 @@ def _ran(spark, rows: DataFrame) -> DataFrame:
 
 @query(
     "stream_rollup",
-    f"""SELECT stream_id, bucket, c, s, l, u FROM ({first_sql(3600)}) WHERE bucket + 3600 <= (SELECT max(ts) - 10 FROM ({EV}))""",
+    f"""SELECT * FROM ({shaped_sql(merge_sql(shaped_sql(first_sql(600), 600), 3600), 3600)}) WHERE bucket + 3600 <= (SELECT max(ts) - 10 FROM ({EV}))""",
 )
 def stream_rollup(spark, sf_dir):
     rows = _ran(spark, streaming_rollups.chained(_live(spark, sf_dir), ["10minutes", "hours"]))
-    return rows.select("stream_id", S("bucket").alias("bucket"), "c", F.col("s").cast("double").alias("s"), F.col("l").cast("double").alias("l"), F.col("u").cast("double").alias("u"))
+    values = [F.col(k).cast("long" if k == "c" else "double").alias(k) for k in "csqlumd"]
+    return rows.select("stream_id", S("bucket").alias("bucket"), *values, *[S(k).alias(k) for k in ("t_m", "t_a", "t_z")])
 
 
-@query("stream_derivative", f"SELECT stream_id, ts, value FROM ({_derivative_sql(EV)})")
-def stream_derivative(spark, sf_dir):
+def _stateful(spark, made: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of a streaming plan with state of its own, which the RocksDB store keeps."""
     key, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = spark.conf.get(key, None)
     spark.conf.set(key, provider)
     try:
-        live = _live(spark, sf_dir).withColumn("value", F.col("value").cast("double"))
-        rows = _ran(spark, streaming_derive.derivative(live))
+        rows = _ran(spark, made())
     finally:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
     return rows.select("stream_id", S("ts").alias("ts"), "value")
+
+
+def _live_doubles(spark, sf_dir, nulls: bool = False) -> DataFrame:
+    value = F.col("value").cast("double")
+    return _live(spark, sf_dir).withColumn("value", F.when(F.col("seq") % 17 != 0, value) if nulls else value)
+
+
+def _live_pair(spark, sf_dir, first: str, second: str, name: str) -> DataFrame:
+    """Two live streams as sources 0 and 1 of a derived one, with nulls."""
+    kind = F.col("stream_id")
+    rows = _live_doubles(spark, sf_dir, True).where(kind.isin(first, second))
+    return rows.withColumn("ord", F.when(kind == first, 0).otherwise(1)).withColumn("stream_id", F.lit(name))
+
+
+@query("stream_derivative", f"SELECT stream_id, ts, value FROM ({_derivative_sql(EVN)})")
+def stream_derivative(spark, sf_dir):
+    return _stateful(spark, lambda: streaming_derive.derivative(_live_doubles(spark, sf_dir, True)))
+
+
+@query("stream_counter_reset", f"SELECT stream_id, ts, value FROM ({_reset_sql(EVN)})")
+def stream_counter_reset(spark, sf_dir):
+    return _stateful(spark, lambda: streaming_derive.counter_reset(_live_doubles(spark, sf_dir, True)))
+
+
+@query(
+    "stream_counter_derivative",
+    f"""WITH ev AS (SELECT ts, seq, value, CASE WHEN stream_id = 'click' THEN 0 ELSE 1 END AS ord FROM ({EVN}) WHERE stream_id IN ('click', 'view')),
+    seen AS (SELECT *, lag(ord) OVER w AS pk, lag(value) OVER w AS pv, lag(ts) OVER w AS pt FROM ev
+        WHERE ord = 1 OR value IS NULL OR value <> 0 WINDOW w AS (ORDER BY ts, ord, seq)),
+    delta AS (SELECT *, CASE WHEN value < pv THEN 256.0::DOUBLE - pv + value ELSE value - pv END AS delta FROM seen)
+    SELECT 'rate' AS stream_id, ts, CASE WHEN value IS NOT NULL THEN delta / (ts - pt) END AS value FROM delta
+    WHERE value IS NULL OR (ord = 1 AND pk = 1 AND pv IS NOT NULL AND ts <> pt)""",
+)
+def stream_counter_derivative(spark, sf_dir):
+    """Clicks that are not 0 or null reset the rate of views."""
+    return _stateful(spark, lambda: streaming_derive.counter_derivative(_live_pair(spark, sf_dir, "click", "view", "rate"), 256.0))
+
+
+@query("stream_sum", f"SELECT stream_id, ts, value FROM ({_sum_sql(EVN, 3600)})")
+def stream_sum(spark, sf_dir):
+    return _stateful(spark, lambda: streaming_derive.aligned_sum(_live_pair(spark, sf_dir, "click", "view", "both"), 2, "hours"))

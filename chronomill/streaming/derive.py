@@ -1,47 +1,119 @@
-"""Derivatives of unbounded streams, with the last value of each stream as keyed state."""
+"""Derive operators for unbounded streams, with what the next row is measured from as keyed state."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.granularity import Granularity, level
+from ..operators.derive import MEASURED
+
 OUTPUT = "stream_id string, ts timestamp, value double"
 
 
-class Derivative(StatefulProcessor):
-    """State: time and value of the last row that was not null."""
+class Measured(StatefulProcessor):
+    """Each row against the one before. State: source, second and value of the last row, value null where it had none."""
+
+    def __init__(self, operator: str, max_value: float | None = None):
+        self.operator, self.max_value = operator, max_value
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "second long, value double")
+        self.last = handle.getValueState("last", "ord int, second long, value double")
 
     def handleInputRows(self, key, rows, timerValues):
-        frame = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
-        held = self.last.get() if self.last.exists() else None
-        second = frame["ts"].map(lambda t: int(pd.Timestamp(t).timestamp() // 1)).to_numpy(np.int64)
+        frame = pd.concat(list(rows)).sort_values(["ts", "ord", "seq"], kind="stable")
+        ord_, second = frame["ord"].to_numpy(np.int64), frame["second"].to_numpy(np.int64)
         value = frame["value"].to_numpy(np.float64, na_value=np.nan)
-        before, then = np.concatenate([[np.nan if held is None else held[1]], value[:-1]]), np.concatenate([[0 if held is None else held[0]], second[:-1]])
-        dt = second - then
-        none = np.isnan(value)  # comes out as null, and the next row has nothing to be measured from
-        kept = none | (~np.isnan(before) & (dt != 0))
-        rate = (value - before)[kept] / np.where(dt == 0, 1, dt)[kept]
-        if none[-1]:
-            self.last.clear()
-        else:
-            self.last.update((int(second[-1]), float(value[-1])))
-        yield pd.DataFrame({"stream_id": key[0], "ts": frame["ts"].to_numpy()[kept], "value": pd.Series(rate).astype(object).where(~none[kept], None)})
+        held = self.last.get() if self.last.exists() else (-1, 0, None)
+        shifted = lambda first, column: np.concatenate([[first], column[:-1]])
+        before = shifted(np.nan if held[2] is None else held[2], value)
+        out, kept = self._made(ord_, shifted(held[0], ord_), value, before, second - shifted(held[1], second))
+        self.last.update((int(ord_[-1]), int(second[-1]), None if np.isnan(value[-1]) else float(value[-1])))
+        shown = pd.Series(out[kept]).astype(object).where(~np.isnan(out[kept]), None)
+        yield pd.DataFrame({"stream_id": key[0], "ts": frame["ts"].to_numpy()[kept], "value": shown})
+
+    def _made(self, ord_, ord_before, value, before, dt):
+        """Values, and the rows that have one; a null comes out as null, as the batch operators have it."""
+        if self.operator == "counter_reset":
+            return np.ones(len(value)), before > value
+        none, step = np.isnan(value), np.where(dt == 0, 1, dt)
+        usable = ~np.isnan(before) & (dt != 0)
+        if self.operator == "derivative":
+            return (value - before) / step, none | usable
+        wrapped = np.full(len(value), np.nan) if self.max_value is None else self.max_value - before + value
+        delta = np.where(value < before, wrapped, value - before)
+        kept = none | (usable & (ord_ == 1) & (ord_before == 1) & ~np.isnan(delta))
+        return np.where(none, np.nan, delta / step), kept
 
     def close(self) -> None:
         pass
 
 
+class AlignedSum(StatefulProcessor):
+    """State: the bucket that is open, and the last value of each source in it (there, value), as two lists."""
+
+    def __init__(self, sources: int, seconds: int):
+        self.sources, self.seconds = sources, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getValueState("open", "bucket long, there array<boolean>, held array<double>")
+
+    def handleInputRows(self, key, rows, timerValues):
+        frame = pd.concat(list(rows)).sort_values(["ts", "ord", "seq"], kind="stable")
+        bucket, there, held = -1, [False] * self.sources, [None] * self.sources
+        if self.open.exists():
+            bucket, there, held = (self.open.get()[i] for i in range(3))
+            there, held = list(there), list(held)
+        out: list[tuple] = []
+        at = frame["second"] // self.seconds * self.seconds
+        # One row decides what the next completes, so rows go one by one.
+        for b, source, value in zip(at.tolist(), frame["ord"].tolist(), frame["value"].tolist()):
+            if b != bucket:
+                bucket, there = b, [False] * self.sources
+            there[source], held[source] = True, None if pd.isna(value) else value
+            if all(there):
+                some = [x for x in held if x is not None]
+                out.append((key[0], pd.Timestamp(b, unit="s"), sum(some) if some else None))
+                there = [False] * self.sources
+        self.open.update((bucket, there, held))
+        yield pd.DataFrame(out, columns=["stream_id", "ts", "value"])
+
+    def close(self) -> None:
+        pass
+
+
+def _run(events: DataFrame, processor: StatefulProcessor) -> DataFrame:
+    if "ord" not in events.columns:
+        events = events.withColumn("ord", F.lit(0))
+    rows = events.select("stream_id", "ts", F.unix_seconds("ts").alias("second"), "seq", F.col("value").cast("double").alias("value"), "ord")
+    return rows.groupBy("stream_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=OUTPUT, outputMode="Append", timeMode="None")
+
+
 def derivative(events: DataFrame) -> DataFrame:
     """stream_id, ts, value: the batch operator's rows, for a streaming table of stream_id, ts, seq, value.
 
     Rows of a micro-batch are put in order; a row older than an earlier batch is taken as it comes.
-    Needs the RocksDB state store.
+    Needs the RocksDB state store, as the others here do.
+    """
+    return _run(events, Measured("derivative"))
+
+
+def counter_reset(events: DataFrame) -> DataFrame:
+    """1 wherever a counter is lower than at its previous value; nulls are passed over."""
+    return _run(events.where(MEASURED["counter_reset"]), Measured("counter_reset"))
+
+
+def counter_derivative(events: DataFrame, max_value: float | None = None) -> DataFrame:
+    """Rate of a counter between its resets: rows of the target's stream_id with ord 0 for resets and 1 for data."""
+    return _run(events.where(MEASURED["counter_derivative"]), Measured("counter_derivative", max_value))
+
+
+def aligned_sum(events: DataFrame, sources: int, g: str | Granularity) -> DataFrame:
+    """Sum of all sources on equal floored times: rows of the target's stream_id with ord, the source's place.
+
+    A bucket is forgotten when a row of another one comes, so sources may be a bucket apart only within a micro-batch.
     """
-    return events.groupBy("stream_id").transformWithStateInPandas(
-        statefulProcessor=Derivative(), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
-    )
+    return _run(events, AlignedSum(sources, level(g).seconds))
