@@ -128,7 +128,7 @@ def _roots(yes: np.ndarray) -> np.ndarray:
 
 
 def similar_documents(
-    docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS, recall: float = RECALL, tile: int = 512, tile_grams: int = 8_000_000
+    docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS, recall: float = RECALL, tile: int = 512, tile_grams: int = 8_000_000, hot_rows: int = 1_000
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, class_id, kept, n_copies, n_links.
 
@@ -143,9 +143,9 @@ def similar_documents(
     Equal sets are one node. Nodes that share a band hash meet in that bucket with their full sets, each pair in
     the first band that it shares, so every pair is verified once. Only verified links make classes. A
     bucket of over `tile` nodes (or `tile_grams` grams) is verified in tiles of parts against parts; a tile gives counts and
-    a spanning forest of its links, never pairs.
+    a spanning forest of its links, never pairs. Sets with over `hot_rows` copies, bounded in number, are joined to their rows by broadcast.
     """
-    return _judged(docs, threshold, width, recall, tile, tile_grams).drop("text_key", "root")
+    return _judged(docs, threshold, width, recall, tile, tile_grams, hot_rows).drop("text_key", "root")
 
 
 def _judged(

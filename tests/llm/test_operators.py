@@ -150,8 +150,8 @@ def brute_near(texts, threshold=0.8):
     return label, [sum(x) for x in link]
 
 
-@pytest.mark.parametrize("tile", [512, 3])
-def test_near_duplicates(spark, tile):
+@pytest.mark.parametrize("settings", [{}, {"tile": 3, "hot_rows": 1}, {"tile_grams": 300}])
+def test_near_duplicates(spark, settings):
     rng = random.Random(5)
     texts = list(TEXTS)
     for k in range(12):  # a chain of edits and a large group
@@ -161,12 +161,12 @@ def test_near_duplicates(spark, tile):
         texts.append(" ".join(words))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     label, links = brute_near(texts)
-    found = {r["doc_id"]: r for r in rows(near_dedup.similar_documents(df, tile=tile))}
+    found = {r["doc_id"]: r for r in rows(near_dedup.similar_documents(df, **settings))}
     assert len(found) == len(texts)
     for i in range(len(texts)):
         low = min(j for j in range(len(texts)) if label[j] == label[i])
         assert (found[i]["class_id"], found[i]["n_links"], found[i]["kept"]) == (low, links[i], low == i), i
-    kept = {r["doc_id"] for r in rows(near_dedup.without_near_duplicates(df, tile=tile))}
+    kept = {r["doc_id"] for r in rows(near_dedup.without_near_duplicates(df, **settings))}
     assert kept == {i for i in found if found[i]["kept"]}
 
 
@@ -201,6 +201,20 @@ def test_near_duplicates_are_told_by_id_and_text(spark):
     assert [r["doc_id"] for r in kept if r["_row"] not in own and r["doc_id"] is not None] == [9]
 
 
+def test_bands_that_chain_dissimilar_texts_make_no_class(spark):
+    """A sliding window over one long text: neighbours share many grams, so bands chain all of them, but few are similar."""
+    words = [f"w{i}" for i in range(1200)]
+    shift = {i: 8 * i + (3 if i % 5 == 0 else 0) for i in range(100)}
+    texts = [" ".join(words[shift[i] : shift[i] + 60]) for i in range(100)]
+    label, links = brute_near(texts)
+    assert max(Counter(label).values()) < 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for settings in ({"recall": 0.9999}, {"tile": 4}):
+        found = {r["doc_id"]: r for r in rows(near_dedup.similar_documents(df, **settings))}
+        assert [found[i]["n_links"] for i in range(100)] == links
+        assert [found[i]["class_id"] for i in range(100)] == [label.index(x) for x in label]
+
+
 def test_bands_reach_the_recall():
     bands, r = near_dedup.choose_bands(0.8, 0.9999)
     assert 1 - (1 - 0.8**r) ** bands >= 0.9999 > 1 - (1 - 0.8**r) ** (bands - 1)
@@ -522,6 +536,25 @@ def test_best_fit_keeps_every_capacity(rule):
         packing.best_fit(np.array([1001]), capacity, rule)
 
 
+@pytest.mark.parametrize("rule", ["dot", "norm"])
+def test_best_fit_opens_as_many_sequences_as_a_plain_one(rule):
+    rng = np.random.default_rng(3)
+    capacity, weights = packing.Capacity(tokens=1000, documents=4, attention=700_000), (1.0, 0.05, 0.05)
+    full = capacity.array()
+    for lengths in (rng.integers(1, 830, 400), rng.integers(1, 120, 400)):
+        bins: list[np.ndarray] = []
+        for n in sorted(lengths.tolist(), reverse=True):
+            need = np.array([n, 1, n * n]) / full
+            fitting = [b for b in bins if (b - need).min() >= -1e-12]
+            cost = (lambda b: b @ (need * weights)) if rule == "dot" else (lambda b: ((b - need) ** 2) @ weights)
+            if not fitting:
+                bins.append(np.ones(3))
+                fitting = bins[-1:]
+            chosen = min(fitting, key=cost)
+            chosen -= need
+        assert abs(packing.best_fit(lengths, capacity, rule, weights)[0].max() + 1 - len(bins)) <= 1
+
+
 def test_word_bpe_equals_the_library():
     bpe, rng = packing.WordBpe(WORD_BPE), random.Random(1)
     pool = ["don't", "'s", "''s", "İ", "ΑΣ", "é", "́", "ﬁ", "½2", "\x1c", "\x85", " ", "日本", "<|endoftext|>", " ", "\n", "A", "ß", "ẞ", "“q”", "🙂", "​", "12", "_-", "K", "µ", "\x00", "ab" * 40]
