@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from chronomill.plans import queries
+from chronomill.plans import engine_queries, queries  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 
