@@ -153,6 +153,10 @@ def test_log_is_summed_and_vacuumed(spark, folder):
     fresh = Store(spark, folder)
     assert fresh.refresh() == store.state and fresh.read("heads", "x int").count() == 9
     assert fresh.vacuum(3600) == 0 and fresh.vacuum(-5) == 1 and lost not in fresh.refresh().runs["heads"]
+    assert fresh._names(f"{folder}/log") == sorted([f"{7:012d}.json", f"{8:012d}.json", f"{8:012d}.sum"])
+    assert Store(spark, folder).refresh() == fresh.refresh() == store.refresh()
+    with pytest.raises(Contended):
+        fresh.commit("append", {}, since=2)
     since = fresh.refresh().version
     store.write("streams", store.local([(1,)], "x int"))
     with pytest.raises(Contended):
