@@ -12,7 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of `edges` (a, b: of any one type that has an order); the root is a component's smallest node.
 
     Alternates the large-star and small-star steps until the edges stand still, each as joins on
-    the node, so no node's neighbours are ever gathered in one place.
+    the node, so no node's neighbours are ever gathered in one place. Edges from a node to itself or with a null end are left
+    out, repeated ones count once, and no edges give no rows.
     """
     now = stored(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"

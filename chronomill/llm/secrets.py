@@ -116,7 +116,7 @@ def log_ratios(counts: dict[str, dict[int, int]], smoothing: float = 0.5) -> lis
 
 
 def random_samples(spark: SparkSession, rows: int = 6_000) -> DataFrame:
-    """Labelled random strings: hexadecimal, base64 and alphanumeric, from hashes of consecutive numbers."""
+    """Labelled random strings: hexadecimal, base64 and alphanumeric, from hashes of consecutive numbers; they depend on nothing else."""
     made = spark.range(rows).select("id", F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 256).alias("h"))
     b64 = F.base64(F.unhex("h"))
     shown = (
@@ -159,7 +159,10 @@ def ordinary_samples(docs: DataFrame, sample_docs: int = 1_500) -> DataFrame:
 
 
 def fit(docs: DataFrame, sample_docs: int = 1_500) -> list[float]:
-    """Pair scores from labelled samples; the counts that reach the driver are bounded by the alphabet."""
+    """Pair scores from labelled samples; the counts that reach the driver are bounded by the alphabet.
+
+    Only doc_id and text are read. Null texts count as empty; without any words the made identifiers alone stand for what is ordinary.
+    """
     samples = random_samples(docs.sparkSession).union(ordinary_samples(docs, sample_docs))
     counts: dict[str, dict[int, int]] = {}
     for r in transition_counts(samples).collect():
