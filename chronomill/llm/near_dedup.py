@@ -103,18 +103,33 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked(sets: list[np.ndarray], threshold: float, first: int | None = None) -> np.ndarray:
-    """Which pairs reach `threshold`. With `first`, only pairs of one of the first `first` sets and a later one."""
-    both = overlaps(sets)
+def similar(both, one, other, threshold: float):
+    """Whether sets of `one` and `other` elements that share `both` reach `threshold`."""
+    return both >= threshold * (one + other - both) - 1e-9
+
+
+def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which pairs reach `threshold`."""
     sizes = np.fromiter(map(len, sets), np.float64, len(sets))
-    yes = both >= threshold * (sizes[:, None] + sizes[None] - both) - 1e-9
+    yes = similar(overlaps(sets), sizes[:, None], sizes[None], threshold)
     np.fill_diagonal(yes, False)
-    if first is not None:
-        yes[:first, :first] = False
-        yes[first:, first:] = False
     return yes
 
 
+def _linked_among(sets: list[np.ndarray], threshold: float, asked: np.ndarray) -> np.ndarray:
+    """Which of the pairs `asked` (symmetric) reach `threshold`: pair by pair where they are few, else by a product of all
+    sets that stand in one. In a group of similar texts the first bands settle nearly all pairs, and later ones few."""
+    yes = np.zeros_like(asked)
+    some = np.flatnonzero(asked.any(1))
+    if np.count_nonzero(asked) <= 4 * len(some):
+        for i, j in zip(*np.nonzero(np.triu(asked))):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            yes[i, j] = yes[j, i] = similar(both, len(sets[i]), len(sets[j]), threshold)
+        return yes
+    yes[np.ix_(some, some)] = linked([sets[i] for i in some], threshold)
+    return yes & asked
+
+
 def _roots(yes: np.ndarray) -> np.ndarray:
     """The first member that each member is connected with."""
     root = np.arange(len(yes))
@@ -309,9 +324,12 @@ def _verified(tiles: DataFrame, threshold: float) -> DataFrame:
         if len(members) < 2:
             return [], [], []
         copies = np.array([m[2] for m in members])
-        bands = np.array([m[3] for m in members], np.int64)
         first = None if row == col else sum(m[0] == row for m in members)
-        yes = linked([np.frombuffer(m[4], np.uint64) for m in members], threshold, first) & ~_earlier(bands, None, band)
+        fresh = ~_earlier(np.array([m[3] for m in members], np.int64), None, band)
+        np.fill_diagonal(fresh, False)
+        if first is not None:
+            fresh[:first, :first] = fresh[first:, first:] = False
+        yes = _linked_among([np.frombuffer(m[4], np.uint64) for m in members], threshold, fresh)
         hit = np.flatnonzero(yes.any(1))
         roots = _roots(yes)
         return [members[i][1] for i in hit], [members[roots[i]][1] for i in hit], (yes @ copies)[hit].tolist()
