@@ -33,14 +33,16 @@ class WordBpe:
     """Ids of whole texts by a word-end BPE file, remembered by white-space chunk.
 
     The tokenizer drops white space and never joins pre-tokens, so the ids of a text are those
-    of its chunks in order. Chunks of plain Latin text take the vocabulary's ranks through a
-    byte-pair core (a word end is written as a line feed, which no pre-token holds); all others,
+    of its chunks in order. All chunks of a run that are not known yet are encoded at once. Those of plain Latin text take
+    the vocabulary's ranks through a byte-pair core (a word end is written as a line feed, which no pre-token
+    holds, and a zero character, a pre-token of its own, stands between two chunks); all others,
     and texts with separators that Python alone splits at, go through the library itself.
     """
 
-    LIMIT = 300_000
+    LIMIT, RUN = 300_000, 65_536
     LATIN = re.compile("[!-~¡-ɏ‐-‧‰-⁞₠-₿]+")
-    WORD = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼½¾]|[^a-zªµºÀ-ÖØ-öø-ɏ0-9²³¹¼½¾]+")
+    NOT_LATIN = re.compile("[^!-~¡-ɏ‐-‧‰-⁞₠-₿\0]")
+    WORD = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼½¾]|\0|[^a-zªµºÀ-ÖØ-öø-ɏ0-9²³¹¼½¾\0]+")
     SEPARATORS = re.compile("[\x1c-\x1f]")
 
     def __init__(self, path: str):
@@ -49,6 +51,7 @@ class WordBpe:
         self.core = tiktoken.Encoding(
             "word-ends", pat_str=r"[^\n]+\n", mergeable_ranks=self._ranks(), special_tokens={}
         )
+        (self.between,) = self.core.encode_ordinary("\0\n")
         self.known: dict[str, bytes] = {}
 
     def _ranks(self) -> dict[bytes, int]:
@@ -64,30 +67,42 @@ class WordBpe:
                 ranks[spelled + b"\n" * ended] = rank
         return ranks
 
-    def _chunk(self, chunk: str) -> bytes:
-        if self.LATIN.fullmatch(chunk):
-            # Lower case first: it can leave the Latin block.
-            lower = chunk.lower()
-            if self.LATIN.fullmatch(lower):
-                ids = self.core.encode_ordinary("\n".join(self.WORD.findall(lower)) + "\n")
-                return np.array(ids, "<u4").tobytes()
-        return np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+    def _through_library(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, chunks: list[str]) -> None:
+        # Lower case first: it can leave the Latin block. No letter of the block depends on those beside it there.
+        whole = "\0".join(chunks)
+        lower = whole.lower()
+        if self.NOT_LATIN.search(whole) or self.NOT_LATIN.search(lower) or whole.count("\0") >= len(chunks):
+            plain = [c for c in chunks if self.LATIN.fullmatch(c) and self.LATIN.fullmatch(c.lower())]
+            self.known.update((c, self._through_library(c)) for c in set(chunks).difference(plain))
+            chunks, lower = plain, "\0".join(plain).lower()
+        if chunks:
+            ids = np.array(self.core.encode_ordinary("\n".join(self.WORD.findall(lower)) + "\n"), "<u4")
+            cuts, held = (4 * np.flatnonzero(ids == self.between)).tolist(), ids.tobytes()
+            self.known.update((c, held[i:j]) for c, i, j in zip(chunks, [0, *(x + 4 for x in cuts)], [*cuts, len(held)]))
+
+    def _run(self, chunks: list[str]) -> bytes:
+        known = self.known
+        new = list(set(chunks).difference(known))
+        if len(known) + len(new) > self.LIMIT:
+            known.clear()
+            new = list(set(chunks))
+        if new:
+            self._learn(new)
+        ids = b"".join(map(known.__getitem__, chunks))
+        for chunk in new:
+            if len(chunk) > 64:
+                del known[chunk]
+        return ids
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if self.SEPARATORS.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        known, out = self.known, []
-        for chunk in text.split():
-            ids = known.get(chunk)
-            if ids is None:
-                ids = self._chunk(chunk)
-                if len(chunk) <= 64:
-                    if len(known) >= self.LIMIT:
-                        known.clear()
-                    known[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+            return self._through_library(text)
+        chunks = (text.lower() if text.isascii() else text).split()
+        return b"".join(self._run(chunks[i : i + self.RUN]) for i in range(0, len(chunks), self.RUN))
 
 
 def tokenized(docs: DataFrame, vocabulary: str, max_tokens: int = 4096) -> DataFrame:

@@ -563,6 +563,20 @@ def test_word_bpe_equals_the_library():
         assert bpe.encode(text) == np.array(bpe.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+def test_word_bpe_encodes_unknown_chunks_of_a_text_at_once():
+    bpe, calls = packing.WordBpe(WORD_BPE), []
+    core = bpe.core
+    bpe.core = type("Core", (), {"encode_ordinary": lambda self, text: calls.append(text) or core.encode_ordinary(text)})()
+    library = lambda text: np.array(bpe.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    plain = " ".join(f"Wörd{i}, {i}th's" for i in range(2000))
+    assert bpe.encode(plain) == library(plain) and len(calls) <= 2  # 4,000 before
+    awkward = " ".join([plain[:200], "a\0b", "\0", "<|ENDOFTEXT|>\0", "日本", "\u212a\u212b", "ẞ", "İs", "é", "xy" * 60, "Ab,ab," * 30, "'S"])
+    for bpe.LIMIT, bpe.RUN in ((300_000, 65_536), (40, 16), (0, 1)):
+        for text in (awkward, awkward.lower(), plain[:3000], "a\0b", "", " \n", "xy" * 60):
+            assert bpe.encode(text) == library(text)
+            assert max(map(len, bpe.known), default=0) <= 64
+
+
 # byte-level BPE
 
 
