@@ -30,28 +30,32 @@ class Capacity:
 
 
 class WordBpe:
-    """Ids of whole texts by a word-end BPE file, remembered by white-space chunk.
-
-    The tokenizer drops white space and never joins pre-tokens, so the ids of a text are those
-    of its chunks in order. All chunks of a run that are not known yet are encoded at once. Those of plain Latin text take
-    the vocabulary's ranks through a byte-pair core (a word end is written as a line feed, which no pre-token
-    holds, and a zero character, a pre-token of its own, stands between two chunks); all others,
-    and texts with separators that Python alone splits at, go through the library itself.
+    """Ids of whole texts by a word-end BPE file.
+
+    Texts of plain Latin only take the vocabulary's ranks through a byte-pair core, a long stretch at a time and without
+    anything remembered (a word end is written as a line feed, which no pre-token holds). The tokenizer drops white
+    space and never joins pre-tokens, so the ids of other texts are those of their white-space chunks in order, which are remembered. All
+    chunks of a run that are not known yet are encoded at once: those of plain Latin through the core (a zero character,
+    a pre-token of its own, stands between two chunks), others through the library itself, as
+    whole texts with separators that Python alone splits at.
     """
 
-    LIMIT, RUN = 300_000, 65_536
+    LIMIT, RUN, STRETCH = 300_000, 65_536, 262_144
     LATIN = re.compile("[!-~¡-ɏ‐-‧‰-⁞₠-₿]+")
     NOT_LATIN = re.compile("[^!-~¡-ɏ‐-‧‰-⁞₠-₿\0]")
-    WORD = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼½¾]|\0|[^a-zªµºÀ-ÖØ-öø-ɏ0-9²³¹¼½¾\0]+")
+    NOT_PLAIN = re.compile(r"[^\s!-~¡-ɏ‐-‧‰-⁞₠-₿]")
+    WORD = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zªµºÀ-ÖØ-öø-ɏ]+|[0-9²³¹¼½¾]|\0|[^\\sa-zªµºÀ-ÖØ-öø-ɏ0-9²³¹¼½¾\0]+")
+    SPACE = re.compile(r"\s")
     SEPARATORS = re.compile("[\x1c-\x1f]")
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.core = tiktoken.Encoding(
-            "word-ends", pat_str=r"[^\n]+\n", mergeable_ranks=self._ranks(), special_tokens={}
-        )
-        (self.between,) = self.core.encode_ordinary("\0\n")
+        ranks = self._ranks()
+        # The special token never occurs: an empty set of them would be looked for at every character.
+        special = {"\n\n": 1 + max(ranks.values())}
+        self.core = tiktoken.Encoding("word-ends", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens=special)
+        (self.between,) = self._core_ids("\0").tolist()
         self.known: dict[str, bytes] = {}
 
     def _ranks(self) -> dict[bytes, int]:
@@ -67,6 +71,10 @@ class WordBpe:
                 ranks[spelled + b"\n" * ended] = rank
         return ranks
 
+    def _core_ids(self, lower: str) -> np.ndarray:
+        words = self.WORD.findall(lower)
+        return self.core.encode_to_numpy("\n".join(words) + "\n", disallowed_special=()).astype("<u4", copy=False)
+
     def _through_library(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -79,7 +87,7 @@ class WordBpe:
             self.known.update((c, self._through_library(c)) for c in set(chunks).difference(plain))
             chunks, lower = plain, "\0".join(plain).lower()
         if chunks:
-            ids = np.array(self.core.encode_ordinary("\n".join(self.WORD.findall(lower)) + "\n"), "<u4")
+            ids = self._core_ids(lower)
             cuts, held = (4 * np.flatnonzero(ids == self.between)).tolist(), ids.tobytes()
             self.known.update((c, held[i:j]) for c, i, j in zip(chunks, [0, *(x + 4 for x in cuts)], [*cuts, len(held)]))
 
@@ -101,9 +109,20 @@ class WordBpe:
         """The ids as little-endian unsigned 32-bit integers."""
         if self.SEPARATORS.search(text):
             return self._through_library(text)
-        chunks = (text.lower() if text.isascii() else text).split()
+        lower = text.lower()
+        if not self.NOT_PLAIN.search(text) and (text.isascii() or not self.NOT_PLAIN.search(lower)):
+            return b"".join(self._core_ids(x).tobytes() for x in self._stretches(lower))
+        chunks = (lower if text.isascii() else text).split()
         return b"".join(self._run(chunks[i : i + self.RUN]) for i in range(0, len(chunks), self.RUN))
 
+    def _stretches(self, text: str):
+        at = 0
+        while at < len(text):
+            space = self.SPACE.search(text, at + self.STRETCH)
+            end = space.start() if space else len(text)
+            yield text[at:end]
+            at = end
+
 
 def tokenized(docs: DataFrame, vocabulary: str, max_tokens: int = 4096) -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length, ids (little-endian unsigned 32 bit).

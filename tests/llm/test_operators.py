@@ -563,16 +563,21 @@ def test_word_bpe_equals_the_library():
         assert bpe.encode(text) == np.array(bpe.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
-def test_word_bpe_encodes_unknown_chunks_of_a_text_at_once():
+def test_word_bpe_calls_its_core_once_for_many_words():
     bpe, calls = packing.WordBpe(WORD_BPE), []
     core = bpe.core
-    bpe.core = type("Core", (), {"encode_ordinary": lambda self, text: calls.append(text) or core.encode_ordinary(text)})()
+    counted = lambda name: lambda self, *text, **more: calls.append(name) or getattr(core, name)(*text, **more)
+    bpe.core = type("Core", (), {name: counted(name) for name in ("encode_ordinary", "encode_to_numpy")})()
     library = lambda text: np.array(bpe.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     plain = " ".join(f"Wörd{i}, {i}th's" for i in range(2000))
     assert bpe.encode(plain) == library(plain) and len(calls) <= 2  # 4,000 before
-    awkward = " ".join([plain[:200], "a\0b", "\0", "<|ENDOFTEXT|>\0", "日本", "\u212a\u212b", "ẞ", "İs", "é", "xy" * 60, "Ab,ab," * 30, "'S"])
-    for bpe.LIMIT, bpe.RUN in ((300_000, 65_536), (40, 16), (0, 1)):
-        for text in (awkward, awkward.lower(), plain[:3000], "a\0b", "", " \n", "xy" * 60):
+    assert not bpe.known  # nothing is kept of plain texts
+    calls.clear()
+    assert bpe.encode(plain + " 日本") == library(plain + " 日本") and len(calls) <= 2
+    awkward = " ".join([plain[:200], "a\0b", "\0", "<|ENDOFTEXT|>\0", "日本", "\u212a\u212b", "ẞ", "İs", "ȺȾ", "é", "xy" * 60, "Ab,ab," * 30, "'S"])
+    spaced = "A,\u3000b\u00a0c\u2028d'S\u0085 <|ENDOFTEXT|>\n\n''s 1½\t"
+    for bpe.LIMIT, bpe.RUN, bpe.STRETCH in ((300_000, 65_536, 262_144), (40, 16, 50), (0, 1, 1)):
+        for text in (awkward, awkward.lower(), plain[:3000], spaced, spaced * 9, "a\0b", "İ", "Ⱥ b", "", " \n", "xy" * 60):
             assert bpe.encode(text) == library(text)
             assert max(map(len, bpe.known), default=0) <= 64
 
