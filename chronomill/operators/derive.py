@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import add
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +55,7 @@ def aligned_sum(rows: DataFrame, sources: int, g: str | Granularity) -> DataFram
     all are there a row comes out and the values are forgotten. Nulls are left out of a sum and make it null if all are.
 
     rows: stream_id (of the target), ts, seq, value, ord. A bucket with one row of each source is settled by a partial
-    aggregation; only the rows of buckets where a source has more are gathered and folded, so what is gathered is one bucket of one target.
+    aggregation; only the rows of buckets where a source has more are put in order and folded.
     """
     g = level(g)
     at = rows.withColumn("bucket", g.floor_column(F.col("ts")))
@@ -70,21 +75,31 @@ def aligned_sum(rows: DataFrame, sources: int, g: str | Granularity) -> DataFram
 
 
 def _folded(rows: DataFrame, sources: int) -> DataFrame:
-    """`aligned_sum` of the rows (with bucket) of complete buckets, one after the other."""
-    listed = rows.groupBy("stream_id", "bucket").agg(F.sort_array(F.collect_list(F.struct("ts", "ord", "seq", "value"))).alias("rows"))
-    none = F.expr(f"transform(sequence(1, {sources}), i -> cast(null as struct<seq:bigint,value:double>))")
-    start = F.struct(none.alias("held"), F.expr("cast(array() as array<struct<seq:bigint,value:double>>)").alias("out"))
-
-    def step(state: Column, row: Column) -> Column:
-        held = F.transform(state["held"], lambda x, i: F.when(i == row["ord"], F.struct(row["seq"].alias("seq"), row["value"].alias("value"))).otherwise(x))
-        full = F.forall(held, lambda x: x.isNotNull())
-        values = F.filter(F.transform(held, lambda x: x["value"]), lambda x: x.isNotNull())
-        total = F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, b: a + b))
-        emitted = F.array(F.struct(F.array_max(F.transform(held, lambda x: x["seq"])).alias("seq"), total.alias("value")))
-        return F.struct(F.when(full, none).otherwise(held).alias("held"), F.when(full, F.concat(state["out"], emitted)).otherwise(state["out"]).alias("out"))
-
-    folded = listed.select("stream_id", F.col("bucket").alias("ts"), F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("o"))
-    return folded.select("stream_id", "ts", F.col("o.seq").alias("seq"), F.col("o.value").alias("value"))
+    """`aligned_sum` of the rows (with bucket) of complete buckets, one after the other.
+
+    A bucket goes through one task in order, batch by batch; beside a batch only the last row of each source is held.
+    """
+    fields = "stream_id string, bucket long, seq long, value double"
+    types = pa.schema([("stream_id", pa.string()), ("bucket", pa.int64()), ("seq", pa.int64()), ("value", pa.float64())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, bucket, there, every = None, None, 0, (1 << sources) - 1
+        seqs, values = [None] * sources, [None] * sources
+        for batch in batches:
+            out: list[tuple] = []
+            for s, b, i, seq, value in zip(*(batch.column(c).to_pylist() for c in ("stream_id", "bucket", "ord", "seq", "value"))):
+                if b != bucket or s != stream:
+                    stream, bucket, there = s, b, 0
+                seqs[i], values[i], there = seq, value, there | 1 << i
+                if there == every:
+                    some = [v for v in values if v is not None]
+                    out.append((s, b, max((q for q in seqs if q is not None), default=None), reduce(add, some, 0.0) if some else None))
+                    there = 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out) if out else [()] * 4, types)], schema=types)
+
+    dealt = rows.repartition("stream_id", "bucket").sortWithinPartitions("stream_id", "bucket", "ts", "ord", "seq", "value")
+    folded = dealt.select("stream_id", F.unix_micros("bucket").alias("bucket"), "ord", "seq", "value").mapInArrow(fold, fields)
+    return folded.select("stream_id", F.timestamp_micros("bucket").alias("ts"), "seq", "value")
 
 
 def derivative(rows: DataFrame) -> DataFrame:
